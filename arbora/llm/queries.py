@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import density, knn
+from arbora.llm import density, knn, leaks, mixing, mojibake
 from arbora.tables import table
 
 
@@ -29,13 +29,47 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.cluster(table(spark, d, "vectors")).clusters
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("run >= 12").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items by the documents that hold a passage of theirs, changed in no more than one word."""
+    found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum((F.col("run") >= 12).cast("int")).alias("unchanged"), F.max("run").alias("longest_run"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": """
       WITH u AS (SELECT qualified_name AS name, any_value(vector)::DOUBLE[] AS v FROM vectors
-                 WHERE len(vector) = 64 AND len(list_filter(vector, x -> NOT isfinite(x) OR x IS NULL)) = 0 AND len(list_filter(vector, x -> x <> 0)) > 0 GROUP BY 1),
+                 WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x) OR x IS NULL)) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 GROUP BY 1),
       r AS (SELECT a.name AS a, b.name AS b, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.name <> b.name),
       t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS n FROM r WHERE sim >= 0.9)
       SELECT DISTINCT least(a, b) AS name_a, greatest(a, b) AS name_b FROM t WHERE n <= 10""",
+    "p8_found": r"""
+      WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+      i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+      dg AS (SELECT id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS s FROM d)),
+      ig AS (SELECT id, array_to_string(w[s:s + 11], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS s FROM i))
+      SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig ON dg.g = ig.g""",
 }
