@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import density, knn, leaks, mixing, mojibake
+from arbora.llm import density, docpairs, knn, leaks, mixing, mojibake
+from arbora.llm.syntax import files
 from arbora.tables import table
 
 
@@ -29,6 +30,30 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return density.cluster(table(spark, d, "vectors")).clusters
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return files.checked(table(spark, d, "parse_results")).where(F.col("problem").isNotNull()).select("file_path")
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return files.rates(table(spark, d, "parse_results"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = docpairs.pairs(table(spark, d, "parse_results"), table(spark, d, "nodes"), code=False)
+    return found.where(F.col("reason").isNull()).select("qualified_name")
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Code and description of the pairs worth keeping."""
+    found = docpairs.pairs(table(spark, d, "parse_results"), table(spark, d, "nodes"))
+    return found.where(F.col("reason").isNull() & F.col("code").isNotNull()).select("qualified_name", "language", "code", "docstring")
+
+
+def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
+    found = docpairs.pairs(table(spark, d, "parse_results"), table(spark, d, "nodes"), code=False)
+    return found.groupBy("language", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("functions"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.where("run >= 12").select("doc_id", "item_id")
@@ -57,7 +82,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters, p5_found, p5_rates, p6_found, p6_pairs, p6_reasons, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": """
