@@ -57,11 +57,10 @@ def pending(symbols: DataFrame, files: DataFrame, runs: DataFrame, tolerance: fl
     spelling. A null path or mtime is never taken, an mtime of 0 is compared like any other. The offsets hold one row per path,
     so the join keeps the rows of symbols as they are; a path with very many rows is split by the adaptive skew join.
     """
-    offsets = committed_offsets(files, runs).select(F.col("path").alias("__path"), F.col("offsets").alias("__offsets"))
-    keyed = symbols.withColumn("__path_of_row", canonical_path(F.col("file_path")))
-    near = F.exists("__offsets", lambda o: F.abs(F.col("mtime") - o / F.lit(1e9)) <= tolerance)
-    joined = keyed.join(offsets, F.col("__path_of_row") == F.col("__path"), "left")
-    return joined.where(~F.coalesce(near, F.lit(False))).select(*[joined[c] for c in symbols.columns])
+    offsets = committed_offsets(files, runs).select("path", "offsets")
+    rows = symbols.select(F.struct("*").alias("row"), canonical_path(F.col("file_path")).alias("path"), F.col("mtime").alias("at"))
+    near = F.exists("offsets", lambda o: F.abs(F.col("at") - o / F.lit(1e9)) <= tolerance)
+    return rows.join(offsets, "path", "left").where(~F.coalesce(near, F.lit(False))).select("row.*")
 
 
 def capture(symbols: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
