@@ -121,21 +121,22 @@ def brute_force(blocks: DataFrame, queries: list[tuple[int, bytes]], k: int, dim
     def best(frames):
         ids = np.array([i for i, _ in shared.value], np.int64)
         asked = _matrix([u for _, u in shared.value], dims)
-        held = [np.empty(0, np.int64)] * len(ids), [np.empty(0, np.float32)] * len(ids), [np.empty(0, np.int32)] * len(ids)
+        every = np.arange(len(ids))[:, None]
+        held = np.full((len(ids), k), -1, np.int64), np.full((len(ids), k), -9, np.float32), np.full((len(ids), k), -1, np.int32)
         for frame in frames:
-            for row in frame.itertuples():
-                uid = np.frombuffer(row.ids, np.int64)
-                sims = asked @ np.frombuffer(row.units, np.float32).reshape(-1, dims).T
-                sims[ids[:, None] == uid[None]] = -9
-                for q in range(len(ids)):
-                    top = np.argsort(-sims[q])[:k]
-                    u, s, c = np.r_[held[0][q], uid[top]], np.r_[held[1][q], sims[q][top]], np.r_[held[2][q], np.full(len(top), row.list, np.int32)]
-                    top = np.argsort(-s, kind="stable")[:k]
-                    held[0][q], held[1][q], held[2][q] = u[top], s[top], c[top]
-        for q, i in enumerate(ids):
-            yield pd.DataFrame({"query": i, "uid": held[0][q], "list": held[2][q], "sim": held[1][q]})
-
-    rows = blocks.select("list", "ids", "units").mapInPandas(best, "query long, uid long, list int, sim float").where("sim > -2")
+            uid, lists = np.frombuffer(b"".join(frame["ids"]), np.int64), np.repeat(frame["list"].to_numpy(np.int32), frame["n"])
+            units = _matrix(frame["units"], dims)
+            for at in range(0, len(uid), 8192):
+                part, own = uid[at : at + 8192], lists[at : at + 8192]
+                sims = asked @ units[at : at + 8192].T
+                sims[ids[:, None] == part[None]] = -9
+                top = np.argpartition(-sims, min(k, sims.shape[1] - 1), axis=1)[:, :k]
+                u, s, c = np.c_[held[0], part[top]], np.c_[held[1], sims[every, top]], np.c_[held[2], own[top]]
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                held = u[every, top], s[every, top], c[every, top]
+        yield pd.DataFrame({"query": np.repeat(ids, k), "uid": held[0].reshape(-1), "list": held[2].reshape(-1), "sim": held[1].reshape(-1)})
+
+    rows = blocks.select("list", "n", "ids", "units").mapInPandas(best, "query long, uid long, list int, sim float").where("sim > -2")
     order = Window.partitionBy("query").orderBy(F.desc("sim"), "uid")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank").toPandas()
 
@@ -231,7 +232,7 @@ def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: i
                 out_near.append(all_ids[m])
                 out_sim.append(sims)
         if not out_id:
-            return pd.DataFrame({"uid": [], "near": [], "sim": []})
+            return pd.DataFrame({"uid": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object), "sim": pd.Series([], dtype=object)})
         ends = np.cumsum(np.concatenate(counts))[:-1]
         return pd.DataFrame({"uid": np.concatenate(out_id), "near": np.split(np.concatenate(out_near), ends), "sim": np.split(np.concatenate(out_sim).astype(np.float32), ends)})
 
