@@ -108,7 +108,8 @@ def trivial(doc: str | None, name: str, params: str | None = None) -> str | None
     words = [w.lower() for w in _WORDS.findall(re.sub(r"\bn\.?/?a\b\.?", " none ", free, flags=re.I))]
     if not words:
         return "tags" if tagged else "empty"
-    if any(w in STANDINS for w in words) and all(w in STANDINS or w in PLACE for w in words):
+    elsewhere = {"base", "parent", "super", "superclass"} & {*words} and {"see", "same", "as", "from"} & {*words}
+    if (elsewhere or any(w in STANDINS for w in words)) and all(w in STANDINS or w in PLACE for w in words):
         return "placeholder"
     own = [stem(p) for p in parts(name)]
     spelled = re.sub(r"^(?:[\w<>\[\]*&]+\s+)*" + re.escape(name) + r"\s*\([^()]*\)\s*(?:->\s*[\w\[\], .]+)?\s*[:;{.]*$", "", free.strip())

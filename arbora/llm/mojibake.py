@@ -80,6 +80,7 @@ class Pairs:
     index: dict[int, int]
     cost: np.ndarray
     rare: np.ndarray
+    unseen: float
     lookup: np.ndarray = field(default=None)
 
     def ids(self, text: str) -> np.ndarray:
@@ -97,7 +98,7 @@ def pair_model(counts: pd.DataFrame, settings: Settings) -> Pairs:
     names = np.unique(np.concatenate([a, b])) if len(n) else np.zeros(0, np.int64)
     index = {int(s): i + 1 for i, s in enumerate(names)}  # 0 stands for symbols never seen
     size, total = len(names) + 1, max(1, n.sum())
-    cost = np.full((size, size), math.log2(total / 0.25), np.float32)
+    cost = np.full((size, size), math.log2(total / 0.25), np.float64)
     rare = np.ones((size, size), bool)
     if len(n):
         ia, ib = np.searchsorted(names, a) + 1, np.searchsorted(names, b) + 1
@@ -105,7 +106,7 @@ def pair_model(counts: pd.DataFrame, settings: Settings) -> Pairs:
         share = p * np.log2(p / (pa[ia] * pb[ib]))
         cost[ia, ib] = -np.log2(p)
         rare[ia, ib] = share < settings.rare * np.abs(share).sum()
-    return Pairs(index, cost, rare)
+    return Pairs(index, cost, rare, math.log2(total / 0.25))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -157,6 +158,11 @@ class Restorer:
         ids = self.pairs.ids(text)
         return float(self.pairs.cost[ids[:-1], ids[1:]].mean()) if len(ids) > 1 else 0.0
 
+    def known(self, text: str) -> bool:
+        """Whether the corpus has every pair of the text."""
+        ids = self.pairs.ids(text)
+        return bool((self.pairs.cost[ids[:-1], ids[1:]] < self.pairs.unseen).all())
+
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs [start, end), widened to the words they touch; none without a character beyond ASCII."""
         ids = self.pairs.ids(text)
@@ -211,6 +217,8 @@ class Restorer:
                     continue
                 if text == run or blank and right != "utf-8" or any(ord(c) < 32 and c not in "\t\n\r" or 127 <= ord(c) < 160 and right != "utf-8" for c in text):
                     continue
+                if right != "utf-8" and (len(run) < 3 and not (before.isalpha() and after.isalpha()) or not self.known(before + text + after)):
+                    continue
                 saved = own - self.mean_cost(before + text + after)
                 if saved >= gain and (best is None or saved > best[0]):
                     best = saved, text, f"{right} read as {wrong}"

@@ -82,20 +82,20 @@ mapped: ('-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | dotted
 JAVASCRIPT = r"""
 file: STR? item* END
 item: stmt | @module import | @module export
-name: NAME | 'async' | 'of' | 'get' | 'set' | @=script 'let' | @=script 'static' | @=script 'yield' | @=script 'await'
+name: NAME | 'async' | 'of' | 'get' | 'set' | 'from' | 'as' | @=script 'let' | @=script 'static' | @=script 'yield' | @=script 'await'
 word: NAME | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'export' | 'extends' | 'finally' | 'for' | 'function'
   | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'null' | 'true' | 'false'
-  | 'let' | 'static' | 'yield' | 'await' | 'async' | 'of' | 'get' | 'set' | 'enum'
+  | 'let' | 'static' | 'yield' | 'await' | 'async' | 'of' | 'get' | 'set' | 'enum' | 'from' | 'as'
 import: 'import' (STR | clause 'from' STR) attributes? SEMI
 attributes: 'with' '{' (word | STR ':' STR ','?)* '}'
 clause: name (',' (star | names))? | star | names
-star: '*' 'as' name | '*' NAME name
+star: '*' 'as' name
 names: '{' (nameas (',' nameas)* ','?)? '}'
-nameas: (word | STR) (NAME (word | STR))?
-export: 'export' ('default' (function | class | 'async' function | assign SEMI) | '*' (NAME (word | STR))? NAME STR attributes? SEMI | names (NAME STR attributes?)? SEMI | declare | vars SEMI)
+nameas: (word | STR) ('as' (word | STR))?
+export: 'export' ('default' (function | class | 'async' function | assign~default SEMI) | '*' ('as' (word | STR))? 'from' STR attributes? SEMI | names ('from' STR attributes?)? SEMI | declare | vars SEMI)
 declare: function | class | 'async' function
 block: '{' stmt* '}'
-stmt: block | ';' | vars SEMI | declare | expr SEMI | 'if' '(' expr ')' stmt ('else' stmt)? | 'for' (@module 'await')? '(' forhead ')' stmt | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' (SEMI | ';')?
+stmt: block | ';' | vars SEMI | declare | expr~statement SEMI | 'if' '(' expr ')' stmt ('else' stmt)? | 'for' (@module 'await')? '(' forhead ')' stmt | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' (SEMI | ';')?
   | 'for' 'await' '(' forhead ')' stmt | 'continue' name? SEMI | 'break' name? SEMI | 'return' expr? SEMI | @=script 'with' '(' expr ')' stmt | 'switch' '(' expr ')' '{' case* '}' | name ':' stmt
   | 'throw' expr SEMI | 'try' block ('catch' ('(' binding ')')? block)? ('finally' block)? | 'debugger' SEMI
 case: ('case' expr | 'default') ':' stmt*
@@ -119,7 +119,7 @@ memberkey: key | '#' word
 expr: assign (',' assign)*
 assign: reference assignment assign | pattern '=' assign | arrow | cond | 'yield' ('*'? assign)?
 assignment: '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-arrow: 'async'? (name | '(' params? ')') '=>' (body | assign)
+arrow: 'async'? (name | '(' params? ')') '=>' (body | assign~body)
 cond: binary ('?' assign ':' assign)?
 binary: (unary | '#' word 'in' unary) (operator unary)*
 operator: '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>>' | '>>>' | '+' | '-' | '*' | '/' | '%' | '**'
@@ -272,9 +272,11 @@ LANGUAGES = {
     "java": (JAVA, ("java8", "java17", "java21"), ("member", "stmt", "expr", "ref")),
     "c": (C, ("c99", "c11", "c23"), ("external", "entry", "assign", "specs")),
 }
+#: Tokens that a JavaScript expression may not begin with as a statement, as an arrow function's body, and as a default export.
+WITHOUT = {"statement": frozenset(("{", "function", "class")), "body": frozenset("{"), "default": frozenset(("function", "class"))}
 EXTENSIONS = {"py": "python", "js": "javascript", "java": "java", "c": "c"}
 
 
 @lru_cache(maxsize=None)
 def grammar(language: str) -> Network:
-    return network(*LANGUAGES[language])
+    return network(*LANGUAGES[language], WITHOUT)
