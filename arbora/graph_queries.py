@@ -16,6 +16,7 @@ from arbora.operators import traversal as T
 from arbora.plans.optimizer import TraversalPlan, optimize
 from arbora.schema import COMMUNITY_WEIGHTS, IMPACT_EDGES, OTHER_WEIGHT, RANKED_EDGES, SEMANTIC_KINDS, SKIPPED_FOR_EMBEDDING, TAINT_EDGES, WEIGHTS
 from arbora.functions.words import LABEL_STOP, LEXICAL_STOP
+from arbora.streaming.refresh import windowed_counts
 from arbora.tables import table
 
 QUERIES, SQL = {}, {}
@@ -454,6 +455,23 @@ def kmeans_clusters(spark, d):
     return found.groupBy("cluster_id").agg(F.count("*").alias("size"))
 
 
+@query()
+def density_clusters(spark, d):
+    found = C.density(table(spark, d, "embeddings"), 64, radius=0.9, key="vec_id", vector="embedding")
+    return found.groupBy("cluster_id").agg(F.count("*").alias("size"))
+
+
+@query("""SELECT DISTINCT qualified_name FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM (SELECT file_path, max(mtime_ns / 1e9) AS now FROM files GROUP BY 1) f WHERE f.file_path = s.file_path AND abs(s.mtime - f.now) <= 0.01)""")
+def stale_symbols(spark, d):
+    files = table(spark, d, "files").select("file_path", (F.col("mtime_ns") / F.lit(1e9)).alias("mtime"))
+    return G.stale_symbols(table(spark, d, "symbols"), files).select("qualified_name").distinct()
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")
+def windowed_events(spark, d):
+    return windowed_counts(table(spark, d, "events"))
+
+
 def _labelled(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, d, "embeddings")
     return rows.select("vec_id", F.col("label").alias("cluster_id")), rows

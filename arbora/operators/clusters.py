@@ -33,6 +33,44 @@ def kmeans(items: DataFrame, dims: int, least: int = 5, key: str = "qualified_na
     return model.transform(unit).select(key, F.col("prediction").alias("cluster_id"))
 
 
+def density(items: DataFrame, dims: int, radius: float = 0.5, min_samples: int = 3, least: int = 5, key: str = "qualified_name", vector: str = "vector", tables: int = 6) -> DataFrame:
+    """(key, cluster_id): connected components of dense unit vectors, -1 for noise; ids by falling size.
+
+    Two vectors are linked if they lie within radius, as found by random projections; a vector is dense with min_samples links, a vector
+    that isn't joins a dense one it is linked to. Components of fewer than ``least`` vectors are noise. Results differ from those of
+    a density hierarchy over a reduced space: one radius holds for all clusters.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    size = V.norm(F.col("v"))
+    rows = items.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(V.usable(F.col("v"), dims) & (size > 0))
+    unit = cut(rows.select("k", array_to_vector(F.transform("v", lambda x: x / size)).alias("unit")))
+    if unit.isEmpty():
+        return unit.select(F.col("k").alias(key), F.lit(-1).alias("cluster_id"))
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=2 * radius, numHashTables=tables, seed=42).fit(unit)
+    pairs = model.approxSimilarityJoin(unit, unit, radius, "d").select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b")).where("a <> b").distinct()
+    links = cut(pairs)
+    dense = cut(links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("a"))
+    inner = cut(links.join(dense, "a", "left_semi").join(dense.select(F.col("a").alias("b")), "b", "left_semi"))
+    label = cut(dense.select("a", F.col("a").alias("c")))
+    while True:
+        near = inner.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
+        moved = label.join(near, "a", "left").select("a", F.least("c", F.coalesce("m", "c")).alias("c"), "c")
+        named = moved.toDF("a", "c", "old")
+        jump = named.select(F.col("a").alias("c"), F.col("c").alias("further"))
+        after = cut(named.join(jump, "c", "left").select("a", F.least("c", F.coalesce("further", "c")).alias("c"), "old"))
+        label = after.select("a", "c")
+        if after.where("c <> old").isEmpty():
+            break
+    edge = links.join(dense, "a", "left_anti").join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("c"))
+    every = label.unionByName(edge)
+    sizes = every.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    ids = sizes.withColumn("cluster_id", F.row_number().over(Window.partitionBy(F.lit("all")).orderBy(F.desc("n"), "c")) - 1)
+    found = every.join(ids.select("c", "cluster_id"), "c").select("a", "cluster_id")
+    return unit.join(found, F.col("k") == F.col("a"), "left").select(F.col("k").alias(key), F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+
+
 def centroids(members: DataFrame, items: DataFrame, key: str = "qualified_name", vector: str = "vector") -> DataFrame:
     """(cluster_id, size, centroid): the mean vector of the members of every cluster but noise (-1); sums combine before the shuffle."""
     joined = members.where("cluster_id >= 0").join(items.select(key, F.col(vector).cast("array<double>").alias("v")), key)

@@ -95,6 +95,18 @@ def incident(edges: DataFrame, names: DataFrame, direction: str = "outbound") ->
     return edges.join(names.select(F.col("qualified_name").alias(end)).distinct(), end, "left_semi")
 
 
+def put_symbols(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Upsert of symbols; a missing display name becomes the key's last part."""
+    return upsert(stored, new.withColumn("display_name", F.coalesce(F.nullif("display_name", F.lit("")), short_name(F.col("qualified_name")))))
+
+
+def stale_symbols(stored: DataFrame, files: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """The stored symbols of files that are gone or whose mtime (seconds) differs by more than the tolerance; files: (file_path, mtime)."""
+    now = files.groupBy("file_path").agg(F.max("mtime").alias("now"))
+    fresh = F.abs(F.col("mtime") - F.col("now")) <= tolerance
+    return stored.join(now, "file_path", "left").where(~F.coalesce(fresh, F.lit(False))).select(*stored.columns)
+
+
 def symbol_card(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
     """(qualified_name, kind, parent, callers, callees, references): counts, and the least ``limit`` names of each as lists."""
 

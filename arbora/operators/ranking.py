@@ -126,6 +126,21 @@ def closeness(names: DataFrame, links: DataFrame, sources: int = 100, hops: int
     return names.join(mean, "qualified_name", "left").select("qualified_name", F.coalesce(1 / (1 + F.col("mean")), F.lit(0.0)).alias("score"))
 
 
+def closeness_exact(names: DataFrame, links: DataFrame, limit: int = 2_000) -> DataFrame:
+    """(qualified_name, score): closeness over the undirected graph, scaled by the share of names reached; at most ``limit`` names.
+
+    It walks from every name, so its work grows with the square of the names; ``closeness`` is the measure beyond the limit.
+    """
+    n = names.count()
+    if n > limit:
+        raise ValueError(f"more than {limit} names: use closeness")
+    both = links.select("src", "dst").union(links.select("dst", "src"))
+    walked = depths(both.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("x").alias("kind"), F.lit(0).alias("edge_id")), names, max(n, 1), per_start=True)
+    sums = walked.where("depth > 0").groupBy("qualified_name").agg(F.count("*").alias("r"), F.sum("depth").alias("s"))
+    score = F.when(F.col("s") > 0, F.col("r") / F.col("s") * F.col("r") / max(n - 1, 1)).otherwise(0.0)
+    return names.join(sums, "qualified_name", "left").select("qualified_name", F.coalesce(score, F.lit(0.0)).alias("score"))
+
+
 def betweenness(names: DataFrame, links: DataFrame, sources: int = 256) -> DataFrame:
     """(qualified_name, score): normalised betweenness over the undirected simple graph, from at most ``sources`` drawn names.
 

@@ -100,6 +100,10 @@ def test_personalised(spark, hub):
     uniform = {r[0]: r[1] for r in R.personalised(nodes, edges, names(spark, "nobody")).collect()}
     assert abs(uniform["B"] - uniform["C"]) < 1e-12
     middle = {r[0]: r[1] for r in R.betweenness(*R.rankable(nodes, edges)).collect()}
+    near = {r[0]: r[1] for r in R.closeness_exact(*R.rankable(nodes, edges)).collect()}
+    assert near["A"] == 1.0 and abs(near["B"] - 5 / 9) < 1e-9
+    with pytest.raises(ValueError):
+        R.closeness_exact(*R.rankable(nodes, edges), limit=2)
     assert abs(middle["A"] - 1.0) < 1e-9 and middle["B"] == 0
 
 
@@ -135,6 +139,9 @@ def test_clusters(spark):
     assert {r["label"] for r in C.labels(members).collect()} == {"m: a0 a1 a2", "m: b0 b1 b2"}
     assert C.kmeans(rows, 2).select("cluster_id").distinct().count() == 2
     assert {r[1] for r in C.kmeans(rows.limit(3), 2).collect()} == {0}
+    dense = {r[0]: r[1] for r in C.density(rows.unionByName(spark.createDataFrame([("far", [-1.0, -1.0]), ("zero", [0.0, 0.0])], rows.schema)), 2, radius=0.3, min_samples=2, least=3).collect()}
+    assert dense["m.a0"] == dense["m.a3"] != dense["m.b0"] == dense["m.b3"] and dense["far"] == -1 and "zero" not in dense
+    assert C.density(rows.limit(0), 2).count() == 0
     noisy = members.unionByName(spark.createDataFrame([("m.c", -1)], "qualified_name string, cluster_id int"))
     more = rows.unionByName(spark.createDataFrame([("m.c", [0.9, 0.0])], rows.schema))
     assert {r[0]: r[1] for r in C.assign_noise(noisy, more, C.centroids(noisy, more)).collect()}["m.c"] == 0
