@@ -148,9 +148,7 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
     """
     spark = documents.sparkSession
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    if spread_needed(rows):
-        rows = rows.repartition(2 * spark.sparkContext.defaultParallelism)
+    rows = spread_scan(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull()))
     schema = f"k {kinds[0]}, item {kinds[1]}, run int, distance int, passage string"
     parts, part, amount = [], [], 0
     for row in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).distinct().orderBy(item_key).toLocalIterator():
@@ -175,6 +173,7 @@ def leaks(documents: DataFrame, items: DataFrame, settings: Settings = Settings(
     return out.select(F.col("k").alias(key), F.col("item").alias(item_key), "run", "distance", "passage").dropDuplicates([key, item_key])
 
 
-def spread_needed(rows: DataFrame) -> bool:
-    """Whether the scan has fewer partitions than the cluster runs tasks."""
-    return rows.rdd.getNumPartitions() < rows.sparkSession.sparkContext.defaultParallelism
+def spread_scan(rows: DataFrame) -> DataFrame:
+    """rows, shuffled to all tasks if the scan has fewer partitions than the cluster runs at once; a large table stays as it is."""
+    parallel = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * parallel) if rows.rdd.getNumPartitions() < parallel else rows

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.leaks import spread_scan
+
 #: Single-byte encodings that text is taken for, tested with UTF-8 and with each other where ALPHABETS says so.
 SINGLE = ("cp1252", "latin-1", "cp1251", "cp1250", "iso8859-2", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "cp1253", "cp1254", "cp1257", "iso8859-5", "iso8859-15", "mac-cyrillic")
 #: Multi-byte encodings that UTF-8 is taken for.
@@ -69,7 +71,7 @@ def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
             key, n = np.unique((s[:-1] << 20) | s[1:], return_counts=True)
             yield pd.DataFrame({"a": key >> 20, "b": key & 0xFFFFF, "n": n})
 
-    rows = documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    rows = spread_scan(documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull()))
     return rows.mapInPandas(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
@@ -319,5 +321,5 @@ def garbled(documents: DataFrame, settings: Settings = Settings(), key: str = "d
             yield pd.DataFrame(out, columns=["key", "restored", "mappings", "lost"])
 
     kind = dict(documents.dtypes)[key]
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = spread_scan(documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7F]")))
     return rows.mapInPandas(check, f"key {kind}, restored string, mappings array<string>, lost boolean").withColumnRenamed("key", key)
