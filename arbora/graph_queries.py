@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,13 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return G.current_edges(table(spark, d, "edges"))
 
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with the columns that walks need, held for the walk's many passes; lost parts are computed again."""
+    nodes = _nodes(spark, d).select("qualified_name", "kind", "name", "file_path")
+    edges = _edges(spark, d).select("edge_id", "kind", "source", "target")
+    return nodes.persist(StorageLevel.MEMORY_AND_DISK), edges.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _hub(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The node with the most callers, ties by name: a start that every input has."""
     called = edges.where(F.col("kind") == "CALLS").groupBy(F.col("target").alias("qualified_name")).agg(F.count("*").alias("n"))
@@ -225,13 +233,13 @@ def _walk(direction: str, kinds, depth: int, start: str, known: bool = True) ->
 @query(_walk("outbound", None, 3, "SELECT qualified_name AS q, 0 AS depth FROM n WHERE kind = 'Module'") + " SELECT q AS qualified_name, min(depth)::INT AS depth FROM w GROUP BY 1")
 def impact_radius(spark, d):
     """Least outbound depth of every node from any module, up to 3."""
-    nodes = _nodes(spark, d)
-    return T.depths(_edges(spark, d), nodes.where(F.col("kind") == "Module"), 3, nodes=nodes)
+    nodes, edges = _graph(spark, d)
+    return T.depths(edges, nodes.where(F.col("kind") == "Module"), 3, nodes=nodes)
 
 
 @query(_walk("outbound", None, 3, "SELECT h AS q, 0 AS depth FROM hub") + " SELECT q AS qualified_name, min(depth)::INT AS depth FROM w GROUP BY 1")
 def bfs_hub(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     found = T.bfs(nodes, edges, _hub(edges, nodes), TraversalPlan(max_depth=3, max_nodes=T.ALL_NODES))
     return found.select("qualified_name", "depth")
 
@@ -240,15 +248,15 @@ def bfs_hub(spark, d):
   SELECT (SELECT count(DISTINCT source) FROM e WHERE target = (SELECT h FROM hub) AND kind IN ({_list(IMPACT_EDGES)})) AS direct_callers, count(*) AS transitive, count(DISTINCT n.file_path) AS files, count(*) FILTER (n.kind = 'Test') AS tests, max(r.depth)::INT AS deepest
   FROM (SELECT q, min(depth) AS depth FROM w GROUP BY 1 HAVING min(depth) > 0 ORDER BY 2, 1) r JOIN n ON n.qualified_name = r.q""")
 def impact_of_hub(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     return Q.impact_summary(Q.impact(nodes, edges, _hub(edges, nodes)))
 
 
 @query(f""", t AS (SELECT qualified_name AS s, qualified_name AS q, 0 AS depth FROM n WHERE kind = 'Test' UNION SELECT t.s, e.target, t.depth + 1 FROM t JOIN e ON e.source = t.q AND e.kind IN ({_list(TAINT_EDGES)}) WHERE t.depth < 4)
   SELECT s AS source, q AS sink, min(depth)::INT AS depth FROM t WHERE q IN (SELECT qualified_name FROM n WHERE kind = 'Class') GROUP BY 1, 2 HAVING min(depth) > 0""")
 def taint_flows(spark, d):
-    nodes = _nodes(spark, d)
-    flows = T.taint(_edges(spark, d), nodes.where(F.col("kind") == "Test"), nodes.where(F.col("kind") == "Class"), 4)
+    nodes, edges = _graph(spark, d)
+    flows = T.taint(edges, nodes.where(F.col("kind") == "Test"), nodes.where(F.col("kind") == "Class"), 4)
     return flows.select("source", "sink", "depth")
 
 
@@ -260,7 +268,7 @@ def size_estimate(spark, d):
 @query(_walk("outbound", None, 12, "SELECT h AS q, 0 AS depth FROM hub", known=False) + " SELECT (max(x) + 1)::INT AS hops FROM (SELECT q, min(depth) AS x FROM w GROUP BY 1)")
 def shortest_path_hops(spark, d):
     """Nodes on the shortest path from the hub to the farthest name, the least of those equally far."""
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     hub = _hub(edges, nodes).first()[0]
     far = T.depths(edges, spark.createDataFrame([(hub,)], "qualified_name string"), 12).orderBy(F.desc("depth"), "qualified_name").first()[0]
     return T.shortest_path(edges, hub, far).select(F.size("path").alias("hops"))
@@ -268,19 +276,19 @@ def shortest_path_hops(spark, d):
 
 @query()
 def dfs_hub(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     return T.dfs(nodes, edges, _hub(edges, nodes), TraversalPlan(max_depth=3)).drop("cost")
 
 
 @query()
 def weighted_bfs_hub(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     return T.weighted_bfs(nodes, edges, _hub(edges, nodes), TraversalPlan(max_depth=3), {"CALLS": 1.0, "CONTAINS": 0.2})
 
 
 @query()
 def beam_hub(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     degree = G.degrees(edges).select("qualified_name", (F.col("fan_in") / (F.col("fan_in") + F.col("fan_out") + 1)).alias("score"))
     return T.beam(nodes, edges, _hub(edges, nodes), degree)
 
@@ -370,13 +378,13 @@ _PPR = _unrolled(
 @query(f""", we AS MATERIALIZED (SELECT source AS s, target AS t, {_case(WEIGHTS)}::DOUBLE AS w FROM e), sh AS MATERIALIZED (SELECT s, t, w / total AS w FROM (SELECT s, t, sum(w) AS w FROM we GROUP BY 1, 2) JOIN (SELECT s, sum(w) AS total FROM we GROUP BY 1) USING (s)
   WHERE s IN (SELECT qualified_name FROM n) AND t IN (SELECT qualified_name FROM n)), {_PPR} SELECT q AS qualified_name, round(v, 8) AS score FROM p8""")
 def personalised_rank(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     return R.personalised(nodes, edges, _hub(edges, nodes), rounds=8, tolerance=0.0).withColumn("score", F.round("score", 8))
 
 
 @query()
 def fused_rank(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
+    nodes, edges = _graph(spark, d)
     hub = _hub(edges, nodes)
     ranked = R.personalised(nodes, edges, hub)
     return R.fuse(ranked, edges, _cosines(spark, d, hub)).select("qualified_name", *[F.round(c, 6).alias(c) for c in ("ppr", "semantic", "structural", "combined")])

@@ -72,7 +72,6 @@ def embed(rows: DataFrame, how: Provider) -> DataFrame:
     """(qualified_name, text, vector, file_path): equal texts are embedded once and joined back by their hash."""
 
     def run(frames):
-        frames = list(frames) if False else frames
         for frame in frames:
             vector = next(iter(how(iter([frame["text"].tolist()]))))
             yield pd.DataFrame({"h": frame["h"], "vector": vector})

@@ -121,7 +121,6 @@ def read_folder(spark: SparkSession, root: str, languages: Sequence[str] | None
     """
     base = root.rstrip("/")
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    start = F.instr("path", base) + len(base) + 1
     columns = [F.expr(f"substring(path, {len(base) + 2} + instr(path, '{base}') - 1)").alias("file_path"), F.unix_micros("modificationTime").alias("us"), F.col("length").alias("size")]
     rules: list = []
     if respect_ignore:
@@ -129,7 +128,6 @@ def read_folder(spark: SparkSession, root: str, languages: Sequence[str] | None
         system = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if system.exists(path):
             rules = ignore_rules("\n".join(r[0] for r in spark.read.text(f"{base}/.gitignore").collect()))
-    del start
     content = F.decode("content", "UTF-8") if text else F.lit(None).cast("string")
     rows = keep(listing.select(*columns, content.alias("source_text")), languages, exclude, rules)
     return rows.select("file_path", "language", (F.col("us") * 1000).alias("mtime_ns"), "size", "source_text")
