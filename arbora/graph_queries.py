@@ -354,15 +354,25 @@ def betweenness(spark, d):
     return R.betweenness(names, links).withColumn("score", F.round("score", 9))
 
 
-@query()
+_CENTRAL = f"""{_RANKABLE}, {_PAGERANK}, u AS MATERIALIZED (SELECT s AS a, t AS b, count(*) AS w FROM (SELECT s, t FROM l UNION ALL SELECT t, s FROM l) GROUP BY 1, 2), {_EIGEN},
+src AS (SELECT q FROM rn ORDER BY md5(q), q LIMIT 100), c AS (SELECT q AS s, q, 0 AS depth FROM src UNION SELECT c.s, l.t, c.depth + 1 FROM c JOIN l ON l.s = c.q WHERE c.depth < 3),
+near AS (SELECT q, 1 / (1 + avg(d)) AS v FROM (SELECT s, q, min(depth) AS d FROM c GROUP BY 1, 2) WHERE d > 0 GROUP BY 1),
+deg AS (SELECT rn.q, coalesce(i.c, 0) AS fi, coalesce(o.c, 0) AS fo FROM rn LEFT JOIN (SELECT t, count(*) AS c FROM l GROUP BY 1) i ON i.t = q LEFT JOIN outs o ON o.s = q),
+ms AS MATERIALIZED (SELECT deg.q, fi, fo, r10.v AS influence, ln(1 + fi * fo) / ln(1 + size.c) AS bridge, coalesce(near.v, 0) AS closeness, coalesce(x20.v, 0) / (SELECT max(v) FROM x20) AS eigenvector, fi / (SELECT max(fi) FROM deg) AS share
+  FROM deg CROSS JOIN size JOIN r10 ON r10.q = deg.q LEFT JOIN near ON near.q = deg.q LEFT JOIN x20 ON x20.q = deg.q),
+central AS MATERIALIZED (SELECT *, 0.40 * influence + 0.25 * bridge + 0.15 * closeness + 0.10 * eigenvector + 0.10 * share AS composite FROM ms)"""
+
+
+@query(f""", {_CENTRAL} SELECT q AS qualified_name, fi AS fan_in, fo AS fan_out, round(influence, 6) AS influence, round(bridge, 6) AS bridge, round(closeness, 6) AS closeness, round(eigenvector, 6) AS eigenvector,
+  round(fi / (fi + fo + 1), 6) AS stability, round(fo / (fi + fo + 1), 6) AS volatility, round(composite, 6) AS composite FROM central""")
 def centrality(spark, d):
-    scores = R.centrality(_nodes(spark, d), _edges(spark, d))
+    scores = R.centrality(_nodes(spark, d), _edges(spark, d), rounds=10, tolerance=0.0)
     return scores.select("qualified_name", "fan_in", "fan_out", *[F.round(c, 6).alias(c) for c in ("influence", "bridge", "closeness", "eigenvector", "stability", "volatility", "composite")])
 
 
-@query()
+@query(f", {_CENTRAL} SELECT q AS qualified_name, round(composite, 6) AS composite FROM central ORDER BY central.composite DESC, q LIMIT 20")
 def top_nodes(spark, d):
-    return R.top(R.centrality(_nodes(spark, d), _edges(spark, d)), 20).select("qualified_name", F.round("composite", 6).alias("composite"))
+    return R.top(R.centrality(_nodes(spark, d), _edges(spark, d), rounds=10, tolerance=0.0), 20).select("qualified_name", F.round("composite", 6).alias("composite"))
 
 
 def _case(weights: dict[str, float]) -> str:
@@ -506,7 +516,8 @@ def cluster_quality(spark, d):
     return C.quality(members, rows, key="vec_id", vector="embedding")
 
 
-@query()
+@query(f""", {_QUALITY}, h AS (SELECT x.label, avg(list_cosine_similarity(x.v, y.v)) AS c FROM dr x JOIN dr y ON x.label = y.label AND x.r < y.r GROUP BY 1), s AS (SELECT label, count(*) AS size, round(avg(CASE WHEN b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS sil FROM sp GROUP BY 1)
+  SELECT count(*) AS clusters, 0.0::DOUBLE AS noise_ratio, round(avg(round(coalesce(h.c, 1.0), 6)), 6) AS cohesion, round(sum(sil * size) / sum(size), 6) AS silhouette, round(sum(sil * size) / sum(size), 6) > 0.1 AS is_good FROM s LEFT JOIN h ON h.label = s.label""")
 def cluster_overall(spark, d):
     members, rows = _labelled(spark, d)
     return C.overall(C.quality(members, rows, key="vec_id", vector="embedding"), members)
@@ -601,7 +612,8 @@ def export_edges(spark, d):
     return X.edges_view(_edges(spark, d))
 
 
-@query()
+@query(f""", {_LABELS}, lb AS (SELECT tm.cluster_id, CASE WHEN w IS NULL THEN 'cluster_' || tm.cluster_id WHEN mo IS NOT NULL AND n >= size * 0.5 AND NOT contains(w, mo) THEN mo || ': ' || w ELSE w END AS label FROM tm LEFT JOIN tw ON tw.cluster_id = tm.cluster_id WHERE r = 1)
+  SELECT m.cluster_id, coalesce(any_value(lb.label), '') AS label, count(*) AS size, CASE WHEN m.cluster_id < 0 THEN '{X.GREY}' ELSE ([{_list(X.CLUSTER_COLOURS)}])[m.cluster_id % {len(X.CLUSTER_COLOURS)} + 1] END AS color FROM m LEFT JOIN lb ON lb.cluster_id = m.cluster_id WHERE m.cluster_id IS NOT NULL GROUP BY m.cluster_id""")
 def export_clusters(spark, d):
     return _views(spark, d)[2]
 

@@ -5,4 +5,4 @@ from arbora.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4, "4g")
+    return local_session(4, 2, "4g")
