@@ -112,8 +112,8 @@ def trivial(doc: str | None, name: str, params: str | None = None) -> str | None
     if (elsewhere or any(w in STANDINS for w in words)) and all(w in STANDINS or w in PLACE for w in words):
         return "placeholder"
     own = [stem(p) for p in parts(name)]
-    spelled = re.sub(r"^(?:[\w<>\[\]*&]+\s+)*" + re.escape(name) + r"\s*\([^()]*\)\s*(?:->\s*[\w\[\], .]+)?\s*[:;{.]*$", "", free.strip())
-    if own and not spelled:
+    signature = re.fullmatch(r"(?:[\w<>\[\]*&]+\s+)*([\w$]+)\s*\([^()]*\)\s*(?:->\s*[\w\[\], .]+)?\s*[:;{.]*", free.strip())
+    if own and signature and [stem(p) for p in parts(signature[1])] == own:
         return "repeats"
     known = set(own) | {stem(p) for w in _WORDS.findall(params or "") for p in parts(w)}
     said = [p for w in re.findall(r"\w+", free) for p in parts(w)]
