@@ -83,7 +83,8 @@ class Finder:
             return []
         words = tokens(text)
         line = f" {' '.join(words)} "
-        hits: dict[int, set[tuple[int, int]]] = {}
+        hits: dict[int, list[tuple[int, int]]] = {}
+        latest: dict[tuple[int, int], int] = {}  # by item and shift: a hit that goes on is no new seed, so repeated words stay cheap
         starts: list[int] = []
         for end, where in self.automaton.iter(line):
             if not starts:
@@ -92,9 +93,11 @@ class Finder:
                     starts.append(at)
                     at += len(w) + 1
                 index = {s: k for k, s in enumerate(starts)}
-            last = index.get(end + 1, len(words))
+            first = index.get(end + 1, len(words)) - self.settings.piece
             for item, at in where:
-                hits.setdefault(item, set()).add((last - self.settings.piece, at))
+                if latest.get((item, first - at)) != first - 1:
+                    hits.setdefault(item, []).append((first, at))
+                latest[item, first - at] = first
         found = []
         for item, seeds in hits.items():
             best = self._verify(words, self.items[item], seeds)
@@ -102,20 +105,14 @@ class Finder:
                 found.append((item, *best))
         return found
 
-    def _verify(self, words: list[str], item: list[str], seeds: set[tuple[int, int]]) -> tuple[int, int, str] | None:
+    def _verify(self, words: list[str], item: list[str], seeds: list[tuple[int, int]]) -> tuple[int, int, str] | None:
         n, errors, piece = self.settings.words, self.settings.errors, self.settings.piece
-        best, seen = None, set()
-        for d, i in sorted(seeds):
-            if (d, i) in seen:
-                continue
-            left = 0
-            while d - left > 0 and i - left > 0 and words[d - left - 1] == item[i - left - 1]:
-                left += 1
+        best = None
+        for d, i in seeds:
             right = piece
             while d + right < len(words) and i + right < len(item) and words[d + right] == item[i + right]:
                 right += 1
-            seen.update((d + k, i + k) for k in range(-left, right - piece + 1))
-            run, distance, start, stop = left + right, 0, d - left, d + right
+            run, distance, start, stop = right, 0, d, d + right
             if run < n:
                 distance, stop = self._distance(words, item, d, i)
                 if distance > errors:
