@@ -1,8 +1,9 @@
 """The most similar vectors for every vector, by inverted lists of anisotropically quantised codes and exact reranking.
 
 Plan: unit vectors, exact copies merged to one; a model fitted on a bounded sample; every vector coded and put in its list; the
-number of lists to probe measured against brute force on a bounded set of queries; neighbouring lists' queries gathered in tasks of
-bounded size, which scan the codes of the probed lists by tables and rerank the best by exact inner product.
+number of lists to probe, and how far below the best a true neighbour's table score may be, measured against brute force on a bounded
+set of queries; neighbouring lists' queries gathered in tasks of bounded size, which scan the codes of the probed lists by tables and
+rerank all that score well enough by exact inner product.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ class Settings:
     """Parameters; all bounds are independent of the data's size.
 
     dims: components of a usable vector. list_size: vectors a coarse list should hold; max_lists bounds their number. sample:
-    vectors the model is fitted on, at most. recall: the share of true neighbours that the probed lists must hold, measured on probes
-    queries. rerank: candidates a neighbour wanted. task_queries, task_members: size of one task. grain: components that differ by
-    less count as equal when copies are merged.
+    vectors the model is fitted on, at most. recall: the share of true neighbours that the probed lists must hold, and that must be
+    among the candidates by table score, measured on probes queries. rerank: candidates a neighbour wanted, at least. task_queries,
+    task_members: size of one task. grain: components that differ by less count as equal when copies are merged. digits: similarities
+    equal to so many digits are ties.
     """
 
     dims: int = 64
@@ -41,6 +43,7 @@ class Settings:
     task_queries: int = 8192
     task_members: int = 131_072
     grain: float = 1e-5
+    digits: int = 6
 
 
 def units(vectors: DataFrame, settings: Settings, name: str = "qualified_name", vector: str = "vector") -> DataFrame:
@@ -72,14 +75,14 @@ def units(vectors: DataFrame, settings: Settings, name: str = "qualified_name",
 
 
 def merge_copies(named: DataFrame, names: int) -> DataFrame:
-    """(uid, key, unit, names, copies): one row per direction, with its ``names`` least names and the number of all.
+    """(uid, key, unit, names, copies): one row per direction, with its ``names`` least names and the number of all; uid rises by name.
 
     The rank limit is applied before the shuffle, so a direction that a third of all rows share stays small.
     """
     counts = named.groupBy("key").agg(F.count("*").alias("copies"))
     least = named.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("name"))).where(F.col("rank") <= names)
     merged = least.groupBy("key").agg(F.min_by("unit", "name").alias("unit"), F.sort_array(F.collect_list("name")).alias("names"))
-    return cut(merged.join(counts, "key").withColumn("uid", F.monotonically_increasing_id()))
+    return cut(merged.join(counts, "key").sort(F.element_at("names", 1)).withColumn("uid", F.monotonically_increasing_id()))
 
 
 def _matrix(column, dims: int) -> np.ndarray:
@@ -161,6 +164,103 @@ def probe_count(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k:
     return int(ranks[min(len(ranks) - 1, int(np.ceil(settings.recall * len(ranks))) - 1)]) + 1 if len(ranks) else 1
 
 
+def score_slack(blocks: DataFrame, groups: DataFrame, model: quantise.Model, k: int, settings: Settings) -> float:
+    """How far below the keep-th best table score candidates are taken, so that they hold the wanted share of the true neighbours.
+
+    Near-copies share codes or differ in few, so that their scores say little about their order; where they are many, this takes them
+    all. 0 where the keep best hold enough. Measured over all lists, which is no less than over the probed ones.
+    """
+    rows = groups.select("uid", "unit", F.xxhash64("key", F.lit("slack")).alias("h")).orderBy("h").limit(settings.probes).collect()
+    truth = brute_force(blocks, [(r["uid"], bytes(r["unit"])) for r in rows], k, model.dims)
+    if not len(truth):
+        return 0.0
+    keep, asked = settings.rerank * k + 1, _matrix([r["unit"] for r in rows], model.dims)
+    number = {r["uid"]: i for i, r in enumerate(rows)}
+    wanted = truth["query"].map(number).to_numpy(np.int64), truth["uid"].to_numpy(np.int64)
+    shared = blocks.sparkSession.sparkContext.broadcast((model, asked, wanted))
+
+    def measure(frames):
+        model, asked, (true_query, true_uid) = shared.value
+        lut, scale = quantise.tables(asked, model)
+        base = quantise.bases(asked, model, np.arange(len(model.centroids)), scale)
+        top = np.empty((0, len(asked)), np.int16)
+        for frame in frames:
+            uid, lists = np.frombuffer(b"".join(frame["ids"]), np.int64), np.repeat(frame["list"].to_numpy(np.int32), frame["n"])
+            codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(-1, model.dims // 4)
+            for at in range(0, len(uid), 2048):
+                score = quantise.scores(lut, base[lists[at : at + 2048]], codes[at : at + 2048])
+                where = {u: i for i, u in enumerate(uid[at : at + 2048].tolist())}
+                for t in np.flatnonzero(np.isin(true_uid, uid[at : at + 2048])):
+                    yield pd.DataFrame({"query": [true_query[t]], "true": [True], "score": [int(score[where[int(true_uid[t])], true_query[t]])]})
+                top = np.concatenate([top, score])
+                top = np.partition(top, max(0, len(top) - keep), axis=0)[-keep:]
+        yield pd.DataFrame({"query": np.tile(np.arange(len(asked)), len(top)), "true": False, "score": top.reshape(-1).astype(np.int64)})
+
+    rows = cut(blocks.select("list", "n", "ids", "codes").mapInPandas(measure, "query long, true boolean, score long"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"))
+    kept = rows.where("not true").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    floors = kept.groupBy("query").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") == keep)
+    gaps = np.sort([r["gap"] for r in rows.where("true").join(floors, "query").select((F.col("floor") - F.col("score")).alias("gap")).collect()])
+    missed = len(truth) - int(np.ceil(settings.recall * len(truth)))  # neighbours that may be missed
+    gap = float(gaps[len(gaps) - 1 - missed]) if len(gaps) > missed else 0.0
+    return max(0.0, gap) / quantise.tables(asked, model)[1]
+
+
+def nearest(query: np.ndarray, own: np.ndarray, ids: np.ndarray, units: np.ndarray, passing, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, members, sims) of the exact k best per query among the passing members, block by block with running best.
+
+    Order: falling similarity, to ``digits`` digits, then rising id. A block of which many pass is multiplied as a whole.
+    """
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids)] = np.arange(len(ids))
+    query, unit = query.astype(np.float64), 10.0**digits
+    key, member, value = np.full((len(query), k), -1, np.int64), np.zeros((len(query), k), np.int64), np.zeros((len(query), k))
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    every = np.arange(len(query))[:, None]
+
+    def keys(sims, m):
+        return ((np.rint(sims * unit) + unit + 1).astype(np.int64) << 31) - place[m] + (1 << 31)
+
+    def settle():
+        q, m = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        other = ids[m] != own[q]
+        q, m = q[other], m[other]
+        sims = np.einsum("ij,ij->i", query[q], units[m].astype(np.float64))
+        old = np.nonzero(key >= 0)
+        q, m, s, x = np.r_[q, old[0]], np.r_[m, member[old]], np.r_[sims, value[old]], np.r_[keys(sims, m), key[old]]
+        best = np.lexsort((-x, q))
+        q, m, s, x = q[best], m[best], s[best], x[best]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        top = rank < k
+        at = q[top], rank[top]
+        key[at], member[at], value[at] = x[top], m[top], s[top]
+
+    n = 0
+    for at, mask in passing:
+        amount = np.count_nonzero(mask)
+        if 16 * amount > mask.size:
+            m = np.arange(at, at + len(mask))
+            sims = query @ units[m].astype(np.float64).T
+            x = keys(sims, m[None])
+            x[own[:, None] == ids[m][None]] = -1
+            x, m, s = np.c_[key, x], np.c_[member, np.broadcast_to(m, sims.shape)], np.c_[value, sims]
+            top = np.argpartition(-x, k - 1, axis=1)[:, :k]
+            key[:], member[:], value[:] = x[every, top], m[every, top], s[every, top]
+        elif amount:
+            m, q = np.nonzero(mask)
+            waiting.append((q, m + at))
+            n += amount
+            if n > 1 << 18:
+                settle()
+                n = 0
+    if waiting:
+        settle()
+    order = np.argsort(-key, axis=1, kind="stable")
+    held = key[every, order] >= 0
+    return held.sum(1), member[every, order][held], value[every, order][held]
+
+
 def plan_tasks(sizes: dict[int, int], order: np.ndarray, probes: int, settings: Settings) -> tuple[list[tuple], list[tuple], bool]:
     """(queries, members, single): routes (list, ways, way, task) of both roles, and whether every query goes to one task only.
 
@@ -192,8 +292,8 @@ def plan_tasks(sizes: dict[int, int], order: np.ndarray, probes: int, settings:
     return queries, members, single
 
 
-def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: int, probes: int, settings: Settings) -> DataFrame:
-    """(uid, near): near is an array of (sim, uid) of the k most similar other directions, by falling sim and rising uid."""
+def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: int, probes: int, slack: float, settings: Settings) -> DataFrame:
+    """(uid, near): near is an array of (sim, uid) of the k most similar other directions, by falling sim to the settings' digits and rising uid."""
     spark = groups.sparkSession
     sizes = {r["list"]: r["n"] for r in blocks.groupBy("list").agg(F.sum("n").alias("n")).collect()}
     order = probe_order(model)
@@ -219,16 +319,10 @@ def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: i
             all_ids, all_units = np.concatenate([store[x][0] for x in chosen]), np.concatenate([store[x][2] for x in chosen])
             for at in range(0, len(ids), 256):
                 own, query = ids[at : at + 256], units[at : at + 256]
-                q, m = quantise.scan(query, model, [(x, store[x][1]) for x in chosen], settings.rerank * k + 1)
-                other = all_ids[m] != own[q]
-                q, m = q[other], m[other]
-                sims = np.einsum("ij,ij->i", query[q], all_units[m])
-                best = np.lexsort((all_ids[m], -sims, q))
-                q, m, sims = q[best], m[best], sims[best]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                q, m, sims = q[rank < k], m[rank < k], sims[rank < k]
+                passing = quantise.passing(query, model, [(x, store[x][1]) for x in chosen], settings.rerank * k + 1, slack)
+                n, m, sims = nearest(query, own, all_ids, all_units, passing, k, settings.digits)
                 out_id.append(own)
-                counts.append(np.bincount(q, minlength=len(own)))
+                counts.append(n)
                 out_near.append(all_ids[m])
                 out_sim.append(sims)
         if not out_id:
@@ -243,7 +337,8 @@ def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: i
     if single:
         return near
     joined = near.groupBy("uid").agg(F.flatten(F.collect_list("near")).alias("near"))  # as many lists a uid as its group has member ways
-    best = F.array_sort("near", lambda a, b: F.when(a["sim"] > b["sim"], -1).when(a["sim"] < b["sim"], 1).when(a["near"] < b["near"], -1).otherwise(1))
+    tied = lambda x: F.round(x["sim"].cast("double"), settings.digits)
+    best = F.array_sort("near", lambda a, b: F.when(tied(a) > tied(b), -1).when(tied(a) < tied(b), 1).when(a["near"] < b["near"], -1).otherwise(1))
     return joined.select("uid", F.slice(best, 1, k).alias("near"))
 
 
@@ -270,25 +365,29 @@ def search(vectors: DataFrame, k: int = 10, settings: Settings = Settings(), **c
     model = fit(groups, count, settings)
     blocks = index(groups, model)
     probes = probe_count(groups, blocks, model, k, settings)
-    return Search(named, groups, blocks, model, probes, neighbours(groups, blocks, model, k, probes, settings))
+    slack = score_slack(blocks, groups, model, k, settings)
+    return Search(named, groups, blocks, model, probes, neighbours(groups, blocks, model, k, probes, slack, settings))
 
 
 def similar_names(found: Search, k: int = 10, least: float = -1.0) -> DataFrame:
     """(name_a, name_b, sim), name_a < name_b: one of the two is among the k most similar of the other, and sim is at least ``least``.
 
-    Copies are at similarity 1; ties are ordered by name. A name in a large group of copies has its k partners there, so the rows grow
-    with the names, not with the pairs.
+    Copies are at similarity 1; similarities equal to six digits are ordered by name. A name in a large group of copies has its k
+    partners there or in near-copies of less name, so the rows grow with the names, not with the pairs.
     """
     lists = found.groups.select("uid", "key", "names", "copies")
-    near = found.near.select("uid", F.posexplode("near").alias("at", "n")).select("uid", "at", "n.sim", F.col("n.near").alias("other")).where(F.col("sim") >= least)
+    near = found.near.select("uid", F.explode("near").alias("n")).select("uid", "n.sim", F.col("n.near").alias("other")).where(F.col("sim") >= least)
     theirs = lists.select(F.col("uid").alias("other"), F.col("names").alias("other_names"))
-    per = near.join(theirs, "other").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("at", "sim", "other_names"))).alias("l"))
-    offered = F.flatten(F.transform("l", lambda x: F.transform(x["other_names"], lambda y: F.named_struct(F.lit("sim"), x["sim"], F.lit("name"), y))))
-    own = lists.where(F.col("copies") <= k).join(per, "uid").select(F.explode("names").alias("name"), F.slice(offered, F.lit(1), (F.lit(k + 1) - F.col("copies")).cast("int")).alias("offered"))
-    across = own.select("name", F.explode("offered").alias("o")).select("name", F.col("o.name").alias("other"), F.col("o.sim").alias("sim"))
-    copied = lists.where(F.col("copies") > 1).select("key", F.col("names").alias("twins"))
-    inside = found.named.select("name", "key").join(copied, "key").select("name", F.explode(F.slice(F.array_remove("twins", F.col("name")), 1, k)).alias("other"), F.lit(1.0).cast("float").alias("sim"))
-    both = across.unionByName(inside)
+    per = near.join(theirs, "other").groupBy("uid").agg(F.collect_list(F.struct("sim", F.col("other_names").alias("names"))).alias("l"))
+    offer = lambda sim, name: F.struct((-F.round(sim.cast("double"), 6)).alias("order"), name.alias("name"), sim.cast("float").alias("sim"))
+    offered = F.flatten(F.transform("l", lambda x: F.transform(x["names"], lambda y: offer(x["sim"], y))))
+    twins = F.when(F.col("copies") > 1, F.transform("names", lambda y: offer(F.lit(1.0), y)))
+    all_offers = F.array_sort(F.concat(*[F.coalesce(x, F.array().cast("array<struct<order:double,name:string,sim:float>>")) for x in (offered, twins)]))
+    offers = cut(lists.join(per, "uid", "left").select("key", "names", "copies", F.slice(all_offers, 1, k + 1).alias("offered")))
+    alone = offers.where(F.col("copies") <= k).select(F.explode("names").alias("name"), "offered")
+    many = found.named.select("name", "key").join(offers.where(F.col("copies") > k).select("key", "offered"), "key").select("name", "offered")
+    others = F.slice(F.filter("offered", lambda o: o["name"] != F.col("name")), 1, k)
+    both = alone.unionByName(many).select("name", F.explode(others).alias("o")).select("name", F.col("o.name").alias("other"), F.col("o.sim").alias("sim"))
     return both.select(F.least("name", "other").alias("name_a"), F.greatest("name", "other").alias("name_b"), "sim").dropDuplicates(["name_a", "name_b"])
 
 

@@ -7,6 +7,7 @@ and of a size that doesn't depend on the data.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -128,48 +129,74 @@ def tables(queries: np.ndarray, model: Model) -> tuple[np.ndarray, float]:
     return np.rint(pairs.reshape(parts // 2, 256, len(queries)) * scale).astype(np.int16), scale
 
 
-def scan(queries: np.ndarray, model: Model, members: list[tuple[int, np.ndarray]], keep: int, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(query, member) index pairs of about the ``keep`` best members by table score for each query, more where scores tie.
+def _score(lut: np.ndarray, codes: np.ndarray, out: np.ndarray, buf: np.ndarray) -> None:
+    """Adds to ``out`` (members, queries) the table scores of the members' codes."""
+    for j in range(lut.shape[0]):
+        np.take(lut[j], codes[:, j], axis=0, out=buf, mode="clip")
+        out += buf
 
-    members: (list, packed codes) in scan order; member indices run over their concatenation.
+
+def bases(queries: np.ndarray, model: Model, lists, scale: float) -> np.ndarray:
+    """(lists, queries): the part of a score that the list's centroid gives."""
+    return np.rint(model.centroids[lists] @ queries.T * scale).astype(np.int16)
+
+
+def scores(lut: np.ndarray, base: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(members, queries) table scores; base: the row of ``bases`` of each member."""
+    out = base.copy()
+    _score(lut, codes, out, np.empty_like(out))
+    return out
+
+
+def passing(queries: np.ndarray, model: Model, members: list[tuple[int, np.ndarray]], keep: int, slack: float = 0.0, step: int = 2048) -> Iterator[tuple[int, np.ndarray]]:
+    """(first member, (members, queries) booleans) block by block: whose table score is at most ``slack`` below the ``keep``-th best.
+
+    All of them, however many score alike. members: (list, packed codes) in scan order; indices run over their concatenation.
     """
     lut, scale = tables(queries, model)
-    base = np.rint(queries @ model.centroids[[c for c, _ in members]].T * scale).astype(np.int16)  # (queries, lists)
+    base = bases(queries, model, [c for c, _ in members], scale)
     floor = np.full(len(queries), -32768, np.int16)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     held, offset = 0, 0
-    scores, part = np.empty((step, len(queries)), np.int16), np.empty((step, len(queries)), np.int16)
+    every = np.empty((sum(len(codes) for _, codes in members), len(queries)), np.int16)
+    part = np.empty((step, len(queries)), np.int16)
     for number, (_, codes) in enumerate(members):
         for at in range(0, len(codes), step):
             block = codes[at : at + step]
-            acc, buf = scores[: len(block)], part[: len(block)]
-            acc[:] = base[:, number]
-            for j in range(lut.shape[0]):
-                np.take(lut[j], block[:, j], axis=0, out=buf, mode="clip")
-                acc += buf
-            if len(block) > keep and floor.max() == -32768:
+            acc = every[offset + at : offset + at + len(block)]
+            acc[:] = base[number]
+            _score(lut, block, acc, part[: len(block)])
+            first = len(block) > keep and floor.max() == -32768
+            if first:
                 floor = np.partition(np.ascontiguousarray(acc.T), len(block) - keep, axis=1)[:, len(block) - keep]
-            hit = np.flatnonzero(acc >= floor)
-            m, q = np.divmod(hit, len(queries))
-            found.append((q, m + offset + at, acc.reshape(-1)[hit]))
+            # once keep members reach the floor, only better ones can raise it
+            hit = np.flatnonzero(acc >= floor if first else acc > floor)
+            found.append((hit % len(queries), acc.reshape(-1)[hit]))
             held += len(hit)
             if held > 6 * keep * len(queries):
                 found, floor = _tighten(found, len(queries), keep)
                 held = len(found[0][0])
         offset += len(codes)
-    found, _ = _tighten(found, len(queries), keep)
-    return found[0][0], found[0][1]
+    _, floor = _tighten(found, len(queries), keep)
+    floor = np.maximum(floor.astype(np.int32) - int(np.ceil(slack * scale)), -32768).astype(np.int16)
+    for at in range(0, len(every), step):
+        yield at, every[at : at + step] >= floor
+
+
+def scan(queries: np.ndarray, model: Model, members: list[tuple[int, np.ndarray]], keep: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """(query, member) index pairs of ``passing``."""
+    pairs = [np.nonzero(mask.T) + (at,) for at, mask in passing(queries, model, members, keep, slack)]
+    return np.concatenate([q for q, _, _ in pairs]), np.concatenate([m + at for _, m, at in pairs])
 
 
 def _tighten(found, queries: int, keep: int):
-    q, m, s = (np.concatenate(x) for x in zip(*found))
+    """The ``keep`` best scores of each query, and its keep-th best."""
+    q, s = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(q.astype(np.int64) * 65536 + (32767 - s.astype(np.int64)), kind="stable")
-    q, m, s = q[order], m[order], s[order]
+    q, s = q[order], s[order]
     starts = np.searchsorted(q, np.arange(queries))
     counts = np.bincount(q, minlength=queries)
     last = np.minimum(starts + keep - 1, len(q) - 1)
     floor = np.where(counts >= keep, s[last] if len(s) else 0, -32768).astype(np.int16)
-    # ties at the floor are cut at keep as well: what is kept is a set of candidates, the exact product decides
-    rank = np.arange(len(q)) - starts[q]
-    kept = rank < keep
-    return [(q[kept], m[kept], s[kept])], floor
+    kept = np.arange(len(q)) - starts[q] < keep
+    return [(q[kept], s[kept])], floor
