@@ -133,6 +133,12 @@ def symbol_cards(spark, d):
     return G.symbol_card(_nodes(spark, d), _edges(spark, d))
 
 
+@query("""SELECT * FROM (SELECT target AS qualified_name, 'callers' AS side, source AS other FROM e WHERE kind = 'CALLS' UNION SELECT source, 'callees', target FROM e WHERE kind = 'CALLS'
+  UNION SELECT target, 'references', source FROM e WHERE kind IN ('REFERENCES', 'USES', 'READS', 'WRITES')) WHERE other IS NOT NULL AND qualified_name IN (SELECT qualified_name FROM n)""")
+def symbol_links(spark, d):
+    return G.symbol_links(_nodes(spark, d), _edges(spark, d))
+
+
 @query("""SELECT DISTINCT qualified_name, display_name FROM symbols WHERE display_name ILIKE 'merge%' OR qualified_name ILIKE '%.merge%'""")
 def symbol_search(spark, d):
     return G.search_symbols(table(spark, d, "symbols"), "merge").select("qualified_name", "display_name").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.schema import SEMANTIC_KINDS
@@ -107,20 +107,26 @@ def stale_symbols(stored: DataFrame, files: DataFrame, tolerance: float = 0.01)
     return stored.join(now, "file_path", "left").where(~F.coalesce(fresh, F.lit(False))).select(*stored.columns)
 
 
-def symbol_card(nodes: DataFrame, edges: DataFrame, limit: int = 100) -> DataFrame:
-    """(qualified_name, kind, parent, callers, callees, references): counts, and the least ``limit`` names of each as lists."""
+CARD_SIDES = (("callers", "target", "source", ("CALLS",)), ("callees", "source", "target", ("CALLS",)), ("references", "target", "source", ("REFERENCES", "USES", "READS", "WRITES")))
 
-    def side(mine: str, other: str, kinds: list[str], name: str) -> DataFrame:
-        rows = edges.where(F.col("kind").isin(kinds)).select(F.col(mine).alias("qualified_name"), F.col(other).alias("o")).distinct()
-        ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("qualified_name").orderBy("o"))).where(F.col("r") <= limit)
-        return ranked.groupBy("qualified_name").agg(F.sort_array(F.collect_list("o")).alias(name))
 
-    sides = [("target", "source", ["CALLS"], "callers"), ("source", "target", ["CALLS"], "callees"), ("target", "source", ["REFERENCES", "USES", "READS", "WRITES"], "references")]
-    out = nodes.select("qualified_name", "kind", F.col("parent_qualified").alias("parent"))
-    for mine, other, kinds, name in sides:
-        out = out.join(side(mine, other, kinds, name), "qualified_name", "left")
+def symbol_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qualified_name, side, other), distinct: all callers, callees and references of the nodes, as rows, however hot a symbol is."""
+    ends = [edges.where(F.col("kind").isin(list(kinds))).select(F.col(mine).alias("qualified_name"), F.lit(name).alias("side"), F.col(other).alias("other")) for name, mine, other, kinds in CARD_SIDES]
+    rows = ends[0].unionByName(ends[1]).unionByName(ends[2]).where(F.col("other").isNotNull()).distinct()
+    return rows.join(nodes.select("qualified_name").distinct(), "qualified_name", "left_semi")
+
+
+def symbol_card(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(qualified_name, kind, parent, callers, callees, references): the names of each side as whole sorted lists.
+
+    The list of a hot symbol is as long as its edges; ``symbol_links`` gives the same as rows.
+    """
+    lists = [F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col("other")))).alias(name) for name, *_ in CARD_SIDES]
+    sides = symbol_links(nodes, edges).groupBy("qualified_name").agg(*lists)
     empty = F.expr("cast(array() as array<string>)")
-    return out.select("qualified_name", "kind", "parent", *[F.coalesce(n, empty).alias(n) for _, _, _, n in sides])
+    out = nodes.select("qualified_name", "kind", F.col("parent_qualified").alias("parent")).join(sides, "qualified_name", "left")
+    return out.select("qualified_name", "kind", "parent", *[F.coalesce(name, empty).alias(name) for name, *_ in CARD_SIDES])
 
 
 def relations(edges: DataFrame, kind: str, mine: str = "target", other: str = "source") -> DataFrame:

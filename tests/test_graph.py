@@ -190,3 +190,12 @@ def test_retrieval(spark):
     assert reached == {"service": 1, "controller": 2}
     told = Q.explain(nodes, edges, "service", 5).first()
     assert told["outgoing"] == ["CALLS repo"] and told["incoming"] == ["CALLS controller", "TESTS test_service"] and told["location"] == "service.py:1"
+
+
+def test_hot_symbol_keeps_every_caller(spark):
+    nodes = spark.createDataFrame([("hot", "Function", None)], "qualified_name string, kind string, parent_qualified string")
+    edges = spark.createDataFrame([(kind, f"c{i:03d}", "hot") for i in range(250) for kind in ("CALLS", "CALLS", "USES")], "kind string, source string, target string")
+    card = G.symbol_card(nodes, edges).first()
+    every = [f"c{i:03d}" for i in range(250)]
+    assert card["callers"] == every and card["references"] == every and card["callees"] == []
+    assert G.symbol_links(nodes, edges).count() == 500
