@@ -122,15 +122,82 @@ def spread(stored: DataFrame, sample: int = 500, key: str = "qualified_name", ve
     return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("deviation"))
 
 
-def approximate(stored: DataFrame, query: list[float], k: int = 10, bucket: float = 0.5, tables: int = 8, key: str = "qualified_name", vector: str = "vector") -> DataFrame:
-    """(key, distance): approximate nearest neighbours of one vector by random projections over unit vectors."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    size = V.norm(F.col("v"))
-    rows = stored.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where(V.usable(F.col("v"), len(query)) & (size > 0))
-    unit = rows.select(key, array_to_vector(F.transform("v", lambda x: x / size)).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hash", bucketLength=bucket, numHashTables=tables, seed=42).fit(unit)
-    q = np.array(query) / (np.linalg.norm(query) or 1.0)
-    return model.approxNearestNeighbors(unit, Vectors.dense(q.tolist()), k, distCol="distance").select(key, "distance")
+def _centroids(unit: np.ndarray, lists: int, rounds: int = 6) -> np.ndarray:
+    """Directions of the lists: spherical k-means from evenly drawn rows; a list that loses its members keeps its direction."""
+    centroids = unit[np.linspace(0, len(unit) - 1, lists).astype(int)]
+    for _ in range(rounds):
+        own = np.argmax(unit @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, own, unit)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centroids)
+    return centroids
+
+
+def approximate(stored: DataFrame, queries: DataFrame, k: int = 10, recall: float = 0.95, key: str = "qualified_name", vector: str = "vector", exclude_self: bool = False, sample: int = 10_000, probes: int = 64) -> DataFrame:
+    """(query, key, cosine, rank): about what ``search`` gives, from the stored vectors of the lists nearest to each query only.
+
+    queries: (query, query_vector), in blocks as in ``search``; stored vectors aren't shuffled. Lists are fitted on ``sample`` vectors; as
+    many are probed as hold the share ``recall`` of the true neighbours of ``probes`` queries. Queries that get fewer than k rows,
+    and those of another length or all zero, are searched exactly.
+    """
+    asked = cut(queries.select("query", F.col("query_vector").cast("array<double>").alias("qv")).where(F.col("qv").isNotNull()))
+    common = asked.groupBy(F.size("qv").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    dims = common["n"] if common else 0
+    usable = lambda v: V.usable(v, dims) & (V.norm(v) > 0)
+    held = stored.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")))
+    drawn = [r["v"] for r in held.orderBy(F.xxhash64("v")).limit(sample).select("v").collect()]
+    exact = lambda rows: search(stored, rows.withColumnRenamed("qv", "query_vector"), k, key=key, vector=vector, exclude_self=exclude_self)
+    if not drawn:
+        return exact(asked)
+    norm = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = norm(np.array(drawn))
+    centroids = _centroids(unit, int(np.clip(np.sqrt(len(unit)), 1, 1024)))
+    tried = asked.where(usable(F.col("qv"))).orderBy(F.xxhash64("query")).limit(probes)
+    true = exact(tried).select("query", F.col(key).alias("key")).join(held, "key").join(tried, "query").select("v", "qv").collect()
+    count = 1
+    if true:
+        own = np.argmax(norm(np.array([r["v"] for r in true])) @ centroids.T, axis=1)
+        near = norm(np.array([r["qv"] for r in true])) @ centroids.T
+        ranks = np.sort((near > near[np.arange(len(own)), own][:, None]).sum(1))
+        count = int(ranks[int(np.ceil(recall * len(ranks))) - 1]) + 1
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, {key} {stored.schema[key].dataType.simpleString()}, cosine double"
+    blocks, out = max(1, -(-asked.count() // BLOCK)), None
+    for b in range(blocks):
+        part = asked.where(usable(F.col("qv")) & (F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).collect()
+        if not part:
+            continue
+        directions = norm(np.array([r["qv"] for r in part]))
+        probed = np.argsort(-(directions @ centroids.T), axis=1, kind="stable")[:, :count]
+        shared = stored.sparkSession.sparkContext.broadcast(([r["query"] for r in part], directions, probed, centroids))
+
+        def scan(frames):
+            names, directions, probed, centroids = shared.value
+            best = None
+            for frame in frames:
+                if frame.empty:
+                    continue
+                frame = frame.sort_values("key")
+                unit = norm(np.array(frame["v"].tolist()))
+                own, keys = np.argmax(unit @ centroids.T, axis=1), frame["key"].to_numpy()
+                found = [] if best is None else [best]
+                for c in np.unique(own):
+                    q, m = np.flatnonzero((probed == c).any(1)), np.flatnonzero(own == c)
+                    sims = np.round(directions[q] @ unit[m].T, 9)
+                    top = np.argsort(-sims, axis=1, kind="stable")[:, : k + 1]
+                    found.append(pd.DataFrame({"q": np.repeat(q, top.shape[1]), "key": keys[m[top]].reshape(-1), "cosine": np.take_along_axis(sims, top, 1).reshape(-1)}))
+                both = pd.concat(found, ignore_index=True).sort_values(["q", "cosine", "key"], ascending=[True, False, True])
+                best = both[both.groupby("q").cumcount() <= k]
+            if best is not None:
+                yield pd.DataFrame({"query": [names[i] for i in best["q"]], key: best["key"].to_numpy(), "cosine": best["cosine"].to_numpy()})
+
+        rows = held.mapInPandas(scan, schema)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return exact(asked)
+    if exclude_self:
+        out = out.where(F.col(key) != F.col("query"))
+    order = Window.partitionBy("query").orderBy(F.desc("cosine"), key)
+    ranked = cut(out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    full = ranked.where(F.col("rank") == k).select("query")
+    return ranked.join(full, "query", "left_semi").select("query", key, "cosine", "rank").unionByName(exact(asked.join(full, "query", "left_anti")).select("query", key, "cosine", "rank"))

@@ -52,3 +52,10 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.queries()) >= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_approximate_search_finds_the_neighbours(spark):
+    exact = {(r["query"], r["vec_id"]) for r in QUERIES["cosine_search"](spark, str(DATA)).collect()}
+    rows = [(r["query"], r["vec_id"]) for r in QUERIES["approximate_search"](spark, str(DATA)).collect()]
+    assert len(rows) == len(set(rows)) == len(exact)
+    assert len(exact & set(rows)) >= 0.9 * len(exact)
