@@ -6,6 +6,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Estimates of more bits than this, an exabyte, mean nothing.
+SIZE_BITS = 60
+
 
 def local_session(cores: int = 4, partitions: int = 8, memory: str = "4g") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
@@ -44,9 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder from now on; survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and read from the shared folder from now on; survives the loss of executors.
+
+    A checkpoint keeps the estimated size of its plan, which joins multiply: after some rounds of a loop the estimate has thousands of
+    digits and planning never ends. Estimates beyond any real size are therefore dropped.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    query = done._jdf.queryExecution()
+    if query.optimizedPlan().stats().sizeInBytes().bit_length() <= SIZE_BITS:
+        return done
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(query.toRdd(), done._jdf.schema(), False), spark)
 
 
 def spread(df: DataFrame, least: int = 1) -> int:
