@@ -184,14 +184,17 @@ def score_slack(blocks: DataFrame, groups: DataFrame, model: quantise.Model, k:
         lut, scale = quantise.tables(asked, model)
         base = quantise.bases(asked, model, np.arange(len(model.centroids)), scale)
         top = np.empty((0, len(asked)), np.int16)
+        by_uid = np.argsort(true_uid, kind="stable")
         for frame in frames:
             uid, lists = np.frombuffer(b"".join(frame["ids"]), np.int64), np.repeat(frame["list"].to_numpy(np.int32), frame["n"])
             codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(-1, model.dims // 4)
             for at in range(0, len(uid), 2048):
                 score = quantise.scores(lut, base[lists[at : at + 2048]], codes[at : at + 2048])
-                where = {u: i for i, u in enumerate(uid[at : at + 2048].tolist())}
-                for t in np.flatnonzero(np.isin(true_uid, uid[at : at + 2048])):
-                    yield pd.DataFrame({"query": [true_query[t]], "true": [True], "score": [int(score[where[int(true_uid[t])], true_query[t]])]})
+                low, high = (np.searchsorted(true_uid, uid[at : at + 2048], side, by_uid) for side in ("left", "right"))
+                row = np.repeat(np.arange(len(low)), high - low)
+                if len(row):
+                    t = by_uid[np.arange(len(row)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)]
+                    yield pd.DataFrame({"query": true_query[t], "true": True, "score": score[row, true_query[t]].astype(np.int64)})
                 top = np.concatenate([top, score])
                 top = np.partition(top, max(0, len(top) - keep), axis=0)[-keep:]
         yield pd.DataFrame({"query": np.tile(np.arange(len(asked)), len(top)), "true": False, "score": top.reshape(-1).astype(np.int64)})
