@@ -1,12 +1,11 @@
 """Processing only records that no successful run has taken yet.
 
-Two forms of one method, change capture from a log:
+Change capture from a log:
 
-* ``pending`` answers what the next run has to take when the committed offsets are kept in a table: every record path is a
-  partition of the log, its version (here a modification time) is the offset, and the last successful run's note per path is
-  the committed offset.
-* ``ChangeLog`` keeps a durable log of its own: appended segments with an offset per partition, a batch plan written before
-  processing starts and replayed after a failure, and a sink that keeps one row per key and offset.
+* ``ChangeLog`` keeps a durable log: appended segments with an offset per partition, a batch plan written before processing starts
+  and replayed after a failure, and a sink that keeps one row per key and offset.
+* ``pending`` feeds it where the committed offsets are kept in a table: every record path is a partition, its version (here a
+  modification time) is the offset, and the last successful run's note per path is the committed offset. ``capture`` does both.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.session import cut, shared_dir
+from arbora.session import shared_dir
 
 
 def canonical_path(path: Column) -> Column:
@@ -63,13 +62,22 @@ def pending(symbols: DataFrame, files: DataFrame, runs: DataFrame, tolerance: fl
     return rows.join(offsets, "path", "left").where(~F.coalesce(near, F.lit(False))).select("row.*")
 
 
-def capture(symbols: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
-    """The next batch as the sink keeps it: ``pending`` written as a plan first, then one row per key and offset.
+def capture(symbols: DataFrame, files: DataFrame, runs: DataFrame, folder: str | None = None, process=None) -> DataFrame:
+    """The next batch as the sink keeps it, every column of symbols, taken through a ``ChangeLog`` in ``folder``.
 
-    The plan is durable before anything reads it, so a task that is lost and run again sees the very same batch.
+    What ``pending`` finds is appended to the log, the plan is written, the batch is processed and read from the sink, one row per
+    qualified_name, path and mtime. If an earlier call with the same folder failed after its plan was written, that plan is replayed
+    first; what it took is in the sink once, however often it was appended. Without a folder the log is a new one in the shared folder.
+    process: applied to every batch, DataFrame to DataFrame, keeping its columns. Nothing pending gives an empty result.
     """
-    plan = cut(pending(symbols, files, runs))
-    return plan.dropDuplicates(["qualified_name", "file_path", "mtime"])
+    log = ChangeLog(symbols.sparkSession, folder, "key", ("path", "at"))
+    process = process or (lambda batch: batch)
+    if log.is_open():
+        log.run(process)
+    log.append(pending(symbols, files, runs).select(F.struct("*").alias("row"), F.col("qualified_name").alias("key"), canonical_path(F.col("file_path")).alias("path"), F.col("mtime").alias("at")))
+    while log.run(process):
+        pass
+    return log.sink().select("row.*") if log.finished() else symbols.limit(0)
 
 
 class ChangeLog:
@@ -77,15 +85,17 @@ class ChangeLog:
 
     ``append`` adds a segment whose rows carry (partition, offset) by the task that wrote them; no shuffle. ``plan`` writes the
     ranges that the next batch covers before anything is processed. ``run`` processes the open plan, replaying it after a failure,
-    and marks it done only once its output is complete. ``sink`` reads the output, one row per key and offset.
-    Rows are appended as they are: null keys and repeated rows stay, and an empty frame makes an empty segment. The columns
+    and marks it done only once its output is complete. ``sink`` reads the output, one row per key and offset; ``version`` names the
+    columns of the records that are their offset for this purpose, the place in the log if none are named.
+    Markers are written in a folder of their own and renamed, so whatever a crash leaves there is never read. One writer at a time: on
+    stores whose rename overwrites, two that write the same marker could both succeed. Rows are appended as they are: null keys and repeated rows stay, and an empty frame makes an empty segment. The columns
     ``_segment``, ``_partition`` and ``_offset`` must not exist in the records.
     """
 
     RESERVED = ("_segment", "_partition", "_offset")
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, key: str = "qualified_name"):
-        self.spark, self.key = spark, key
+    def __init__(self, spark: SparkSession, folder: str | None = None, key: str = "qualified_name", version: tuple[str, ...] = RESERVED):
+        self.spark, self.key, self.version = spark, key, version
         self.folder = folder or f"{shared_dir(spark)}/changelog-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -95,15 +105,17 @@ class ChangeLog:
 
     def _names(self, sub: str) -> list[str]:
         path = self._path(sub)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+        return [n for n in names if not n.startswith((".", "_"))]  # what file systems and Spark keep beside the markers
 
     def _put(self, name: str, value: dict) -> None:
         """Written aside and renamed: a reader sees all of it or nothing."""
-        temporary = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        temporary = self._path(f"unfinished/{uuid.uuid4().hex}")
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(value).encode()))
         out.close()
-        if not self._fs.rename(temporary, self._path(name)):
+        self._fs.mkdirs(self._path(name).getParent())
+        if self._fs.exists(self._path(name)) or not self._fs.rename(temporary, self._path(name)):
             raise OSError(f"{name} exists already")
 
     def _get(self, name: str) -> dict:
@@ -139,7 +151,7 @@ class ChangeLog:
         """The open plan's name, or that of a new one written now; None if nothing is left to take."""
         done = set(self._names("done"))
         for name in self._names("plans"):
-            if not name.endswith(".tmp") and name not in done:
+            if name not in done:
                 return name
         committed = self.committed()
         ranges: dict[str, dict[str, list[int]]] = {}
@@ -154,6 +166,14 @@ class ChangeLog:
         self._put(f"plans/{name}", ranges)
         return name
 
+    def is_open(self) -> bool:
+        """Whether a plan was written whose batch isn't done."""
+        return bool(set(self._names("plans")) - set(self._names("done")))
+
+    def finished(self) -> bool:
+        """Whether any batch is done."""
+        return bool(self._names("done"))
+
     def batch(self, name: str) -> DataFrame:
         """The records that the plan covers, the same at every call."""
         ranges = [(s, int(p), lo, hi) for s, parts in self._get(f"plans/{name}").items() for p, (lo, hi) in parts.items()]
@@ -180,4 +200,4 @@ class ChangeLog:
         if not done:
             raise LookupError("no batch is finished")
         out = self.spark.read.parquet(*[f"{self.folder}/out/{name}" for name in done])
-        return out.dropDuplicates([self.key, *self.RESERVED])
+        return out.dropDuplicates([self.key, *self.version])

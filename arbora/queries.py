@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators import hierarchy as tree
 from arbora.operators import increments, orphans
+from arbora.session import shared_dir
 from arbora.tables import table
 
 
@@ -14,6 +17,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return increments.capture(table(spark, d, "symbols"), table(spark, d, "files"), table(spark, d, "index_runs")).select("qualified_name").distinct()
 
 
+def p1_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The same batch after its first run failed halfway, by another driver that finds the open plan in the folder."""
+    tables = [table(spark, d, name) for name in ("symbols", "files", "index_runs")]
+    folder = f"{shared_dir(spark)}/changelog-{uuid.uuid4().hex}"
+
+    def fails(batch: DataFrame) -> DataFrame:
+        raise InterruptedError
+
+    try:
+        increments.capture(*tables, folder, fails)
+    except InterruptedError:
+        pass
+    return increments.capture(*tables, folder).select("qualified_name").distinct()
+
+
 def p1_offsets(spark: SparkSession, d: str) -> DataFrame:
     offsets = increments.committed_offsets(table(spark, d, "files"), table(spark, d, "index_runs"))
     return offsets.select("path", "run_id", F.array_max("offsets").alias("last_offset"))
@@ -41,7 +59,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return report.select("side", F.date_format("period", "yyyy-MM").alias("period"), "refs", "orphans", "orphan_keys")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_offsets, p4_found, p4_hierarchy, p4_descendants, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_replayed, p1_offsets, p4_found, p4_hierarchy, p4_descendants, p7_found, p7_report)}
 
 _PATHS = """
 canon(raw, path) AS (
@@ -97,3 +115,4 @@ SQL = {
       SELECT t.side, t.period, t.refs, coalesce(b.orphans, 0) AS orphans, coalesce(b.orphan_keys, 0) AS orphan_keys
       FROM total t LEFT JOIN b ON b.side = t.side AND b.period IS NOT DISTINCT FROM t.period""",
 }
+SQL["p1_replayed"] = SQL["p1_found"]

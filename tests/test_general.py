@@ -36,6 +36,33 @@ def test_pending(spark):
     assert I.pending(symbols, files.limit(0), runs.limit(0)).count() == 10
 
 
+@pytest.mark.parametrize("folder", ["segments", "plans", "done"])
+@pytest.mark.parametrize("when", ["before the rename", "after the rename"])
+def test_killed_while_marking(spark, tmp_path, folder, when, monkeypatch):
+    """Whatever is left when a driver dies around a marker, the next one takes everything once."""
+    put = I.ChangeLog._put
+
+    def dies(self, name, value):
+        if name.startswith(folder + "/"):
+            if when == "after the rename":
+                put(self, name, value)
+            else:
+                self._fs.create(self._path(f"unfinished/{name.replace('/', '-')}"), True).close()
+            raise KeyboardInterrupt
+        put(self, name, value)
+
+    symbols = spark.createDataFrame([("a", "x/../a.py", 1.0, "p", 1), ("b", "b.py", None, "p", 1), (None, None, 2.0, "p", 2), ("a", "a.py", 1.0, "p", 1)], SYMBOLS)
+    files, runs = spark.createDataFrame([], FILES), spark.createDataFrame([], RUNS)
+    monkeypatch.setattr(I.ChangeLog, "_put", dies)
+    with pytest.raises(KeyboardInterrupt):
+        I.capture(symbols, files, runs, str(tmp_path / "log"))
+    monkeypatch.setattr(I.ChangeLog, "_put", put)
+    for _ in range(2):
+        got = I.capture(symbols, files, runs, str(tmp_path / "log"))
+        assert got.columns == symbols.columns
+        assert sorted(map(str, (r[0] for r in got.collect()))) == ["None", "a", "b"]
+
+
 def test_change_log(spark, tmp_path):
     log = I.ChangeLog(spark, str(tmp_path / "log"))
     log.append(spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "qualified_name string, v int"))
