@@ -63,24 +63,28 @@ class Engine:
     # --- state ---------------------------------------------------------------------------------------------------------------
 
     def save(self, folder: str) -> None:
-        """Every table as Parquet in a new version folder; the manifest that names it is put in place last, by rename."""
+        """Every table as Parquet in a new version folder; a numbered manifest that names it is put in place last, by rename."""
         fs, path = _file_system(self.spark, folder)
         version = f"v{self.spark.sparkContext.startTime}-{id(self):x}"
         for name in TABLES:
             getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+        before = _manifests(fs, path, folder)
+        number = int(before[-1].split("-")[1]) + 1 if before else 1
         out = fs.create(path(f"{folder}/manifest.tmp"), True)
         out.write(bytearray(json.dumps({"format": FORMAT, "version": version, "config": asdict(self.config)}).encode()))
         out.close()
-        fs.delete(path(f"{folder}/manifest.json"), False)
-        if not fs.rename(path(f"{folder}/manifest.tmp"), path(f"{folder}/manifest.json")):
+        if not fs.rename(path(f"{folder}/manifest.tmp"), path(f"{folder}/manifest-{number:09d}")):
             raise StateError("the manifest couldn't be put in place")
+        for name in before:  # only now; until here the older state is the one that opens
+            fs.delete(path(f"{folder}/{name}"), False)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Engine:
         fs, path = _file_system(spark, folder)
-        if not fs.exists(path(f"{folder}/manifest.json")):
+        names = _manifests(fs, path, folder)
+        if not names:
             raise StateError("nothing is saved here")
-        manifest = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/manifest.json").collect()))
+        manifest = json.loads("".join(r[0] for r in spark.read.text(f"{folder}/{names[-1]}").collect()))
         if manifest["format"] != FORMAT:
             raise StateError("saved in a newer form" if manifest["format"] > FORMAT else "saved in an older form: build it anew")
         tables = {name: spark.read.parquet(f"{folder}/{manifest['version']}/{name}") for name in TABLES}
@@ -152,6 +156,11 @@ def load_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
     return spark.read.schema(NODES).json(f"{folder}/nodes"), spark.read.schema(EDGES).json(f"{folder}/edges"), spark.read.schema("file_path string, mtime_ns long, size long").json(f"{folder}/files")
 
 
+def _manifests(fs, path, folder: str) -> list[str]:
+    """The manifests in the folder, the one that counts last."""
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(path(folder))) if n.startswith("manifest-"))
+
+
 def _file_system(spark: SparkSession, folder: str):
     make = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
     fs = make(folder).getFileSystem(spark._jsc.hadoopConfiguration())

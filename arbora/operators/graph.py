@@ -21,10 +21,12 @@ def current_nodes(nodes: DataFrame, version: str = "ingested_at") -> DataFrame:
 
 
 def current_edges(edges: DataFrame) -> DataFrame:
-    """The edge multiset: redelivered rows of one edge_id count once, edges without both ends are left out."""
+    """The edge multiset: redelivered rows of one edge_id and file count once, edges without both ends are left out."""
     filled = (F.col("source") != "") & (F.col("target") != "")
-    columns = [c for c in edges.columns if c != "edge_id"]
-    return edges.where(filled).groupBy("edge_id").agg(F.min(F.struct(*columns)).alias("v")).select("edge_id", "v.*").select(*edges.columns)
+    # ids hold a hash of the file's path, so that only within one file they are sure to differ
+    keys = [c for c in ("edge_id", "file_path") if c in edges.columns]
+    columns = [c for c in edges.columns if c not in keys]
+    return edges.where(filled).groupBy(*keys).agg(F.min(F.struct(*columns)).alias("v")).select(*keys, "v.*").select(*edges.columns)
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -94,7 +94,7 @@ def ingest(facts: DataFrame, methods: bool = False) -> tuple[DataFrame, DataFram
         rows = rows.unionByName(part)
     order = Window.partitionBy("file_path").orderBy("pos", "kind", "source", "target")
     numbered = rows.withColumn("n", F.row_number().over(order))
-    # 2 ** 20 edges a file; the file's place among all files comes from its path's hash, which is stable across runs
+    # an edge's key is (edge_id, file_path): the id orders a file's edges, and its upper bits, a hash of the path, those of all files
     edge_id = F.shiftleft(F.xxhash64("file_path").bitwiseAND((1 << 42) - 1), 20) + F.col("n")
     return nodes, numbered.select(edge_id.alias("edge_id"), "kind", "source", "target", "file_path", "confidence", "extra")
 

@@ -15,11 +15,22 @@ class LiveGraph:
     """Nodes and edges as Parquet versions in a folder; every micro batch of files replaces what these files held before.
 
     Batches are numbered by the stream; one that comes again after a failure writes the same version folder again and starts from the
-    version before it, so nothing is taken twice. ``version`` names the batch last completed, -1 before the first.
+    version before it, so nothing is taken twice. ``version`` names the batch last completed, -1 before the first; it is told by markers
+    in the folder, so that a stream that is started again goes on where it was.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.version = spark, folder, -1
+        self.spark, self.folder = spark, folder
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _done(self) -> list[int]:
+        folder = self._path(f"{self.folder}/done")
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit()) if self._fs.exists(folder) else []
+
+    @property
+    def version(self) -> int:
+        return max(self._done(), default=-1)
 
     def tables(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         at = self.version if version is None else version
@@ -30,12 +41,12 @@ class LiveGraph:
     def take(self, files: DataFrame, batch: int) -> None:
         """files: (file_path, language, source_text); of repeated paths the greatest text counts, a null text deletes the file."""
         one = files.groupBy("file_path").agg(F.max(F.struct("source_text", "language")).alias("v")).select("file_path", "v.language", "v.source_text")
-        before = min(self.version, batch - 1)
+        before = max((v for v in self._done() if v < batch), default=-1)
         nodes, edges = delete_files_narrow(*self.tables(before), one)
         fresh_nodes, fresh_edges, _ = ingest.build(one)
         upsert(nodes, fresh_nodes).write.mode("overwrite").parquet(f"{self.folder}/{batch}/nodes")
         append(edges, fresh_edges).write.mode("overwrite").parquet(f"{self.folder}/{batch}/edges")
-        self.version = batch
+        self._fs.create(self._path(f"{self.folder}/done/{batch}"), True).close()
 
     def follow(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(lambda df, batch: self.take(df, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

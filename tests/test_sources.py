@@ -1,9 +1,13 @@
 """Extractors and listing rules on small fixtures."""
 
+import ast
+
 import pytest
 
+from arbora.operators.graph import current_edges
 from arbora.sources import generic_facts, python_facts, walk
 from arbora.sources.ingest import build
+from arbora.streaming.refresh import LiveGraph
 
 CASES = {
     ("go", "srv_test.go"): ('package a\nimport (\n "fmt"\n x "ex.com/api"\n)\ntype Srv struct{}\ntype H interface{ Go() }\nfunc (s *Srv) Go() { fmt.Println("x"); help() }\nfunc help() {}\nfunc TestGo(t *testing.T) {}\n',
@@ -55,12 +59,34 @@ def test_python_facts_and_ingest(spark):
 
 
 def test_routes():
-    assert python_facts.route('@app.route("/x", methods=["GET"])') == {"http_method": "ANY", "path": "/x", "framework": "flask"}
-    assert python_facts.route("@cached") is None
-    found = generic_facts.facts("Route::get('/a/b', 'C@m');", "routes.php", "php")
-    assert found[0]["qualified"] == "laravel.route.get.a_b"
+    declared = lambda text: python_facts.route(ast.parse(text, mode="eval").body)
+    assert declared('app.route("/x", methods=["GET", "POST"])') == {"http_method": "GET", "path": "/x", "framework": "flask"}
+    assert declared("app.route('/x')")["http_method"] == "ANY" and declared("api_view(['PUT'])") == {"http_method": "PUT", "path": "/", "framework": "fastapi"}
+    assert declared('router.delete(path="/a/{i}")') == {"http_method": "DELETE", "path": "/a/{i}", "framework": "fastapi"}
+    assert declared("cached") is None and declared("cached('get')") is None and declared("a.b.get('/x')") is None
+    found = generic_facts.facts("// Route::get('/no')\nRoute::get('/a/b', 'C@m'); $x->get('/no'); Route::get($y);", "routes.php", "php")
+    assert [f["qualified"] for f in found if f.get("kind") == "Endpoint"] == ["laravel.route.get.a_b"] and found[0]["line"] == 2
+    found = generic_facts.facts('router.post("/p", f); other.post("/no");', "a.js", "javascript")
+    assert [f["extra"]["path"] for f in found if f.get("kind") == "Endpoint"] == ["/p"]
     found = generic_facts.facts("export async function GET(r) { return ok(r); }", "app/users/[id]/route.ts", "typescript")
     assert any(f.get("qualified") == "GET__endpoint" and f["extra"]["path"] == "/users/{id}" for f in found)
+    assert generic_facts.file_route("src/pages/api/users/[id].ts") == "/users/{id}" and generic_facts.file_route("app/page.ts") is None
+
+
+def test_live_graph_restarts(spark, tmp_path):
+    """A new object goes on where the folder is; a batch that comes again replaces what it left."""
+    file = lambda path, text: spark.createDataFrame([(path, "python", text)], "file_path string, language string, source_text string")
+    LiveGraph(spark, str(tmp_path)).take(file("a.py", "def f(): pass\n"), 0)
+    for _ in range(2):
+        LiveGraph(spark, str(tmp_path)).take(file("b.py", "def g(): f()\n"), 1)
+    graph = LiveGraph(spark, str(tmp_path))
+    nodes, edges = graph.tables()
+    assert graph.version == 1 and {r["qualified_name"] for r in nodes.collect()} == {"a.py", "f", "b.py", "g"} and edges.count() == 3
+
+
+def test_edge_ids_of_two_files_may_clash(spark):
+    edges = spark.createDataFrame([(1, "CALLS", "a", "b", "x.py", 1.0), (1, "CALLS", "c", "d", "y.py", 1.0), (1, "CALLS", "c", "d", "y.py", 1.0)], "edge_id long, kind string, source string, target string, file_path string, confidence double")
+    assert current_edges(edges).count() == 2
 
 
 def test_ignore_rules(spark):
