@@ -362,22 +362,43 @@ def functions(parses: DataFrame, code: bool = True) -> DataFrame:
     return rows.mapInPandas(extract, FUNCTIONS)
 
 
-def pairs(parses: DataFrame, nodes: DataFrame, code: bool = True) -> DataFrame:
-    """(qualified_name, kind, language, file_path, code, docstring, source_doc, reason): Function and Method nodes and what they do.
+def _same_words(a: str | None, b: str | None) -> bool:
+    """Whether two texts agree in all letters and digits, so that delimiters, rulers and line breaks don't count."""
+    return "".join(filter(str.isalnum, (a or "").casefold())) == "".join(filter(str.isalnum, (b or "").casefold()))
 
-    One row per qualified_name. code, source_doc and the parameters come from the function of that name at that line of the latest
-    parse, null if there is none. reason tells why the docstring says nothing and is null for pairs worth keeping. Nodes with a null
-    qualified_name are left out.
-    """
+
+def _documented(nodes: DataFrame) -> DataFrame:
+    """One row per qualified_name of kind Function or Method; should rows disagree, the least counts."""
     wanted = nodes.where(F.col("kind").isin("Function", "Method") & F.col("qualified_name").isNotNull())
-    one = wanted.groupBy("qualified_name").agg(F.min(F.struct("kind", "name", "file_path", "range_start", "docstring")).alias("v")).select("qualified_name", "v.*")
+    return wanted.groupBy("qualified_name").agg(F.min(F.struct("kind", "name", "file_path", "range_start", "docstring")).alias("v")).select("qualified_name", "v.*")
+
+
+def _matched(parses: DataFrame, nodes: DataFrame, code: bool, how: str) -> DataFrame:
+    """Nodes joined with the function of their name at their line in the latest parse of their file."""
     found = functions(parses, code).select(F.col("file_path").alias("f"), F.col("name").alias("n"), "first", "language", "code", F.col("doc").alias("source_doc"), "params").dropDuplicates(["f", "n", "first"])
-    joined = one.join(found, (F.col("file_path") == F.col("f")) & (F.col("name") == F.col("n")) & (F.col("range_start") == F.col("first")), "left")
+    one = _documented(nodes)
+    return one.join(found, (F.col("file_path") == F.col("f")) & (F.col("name") == F.col("n")) & (F.col("range_start") == F.col("first")), how)
+
+
+def pairs(parses: DataFrame, nodes: DataFrame, code: bool = True) -> DataFrame:
+    """(qualified_name, kind, language, file_path, code, docstring, source_doc, reason): functions of the source files with what they do.
+
+    One row per qualified_name whose function the latest parse of its file holds; ``unpaired`` has the others. source_doc is the
+    documentation attached to it there, docstring what the node says. If both agree in their words the attached one is judged, else
+    the node's, since the file may have changed after the node was made. reason tells why it says nothing and is null for pairs worth
+    keeping. Nodes with a null qualified_name are left out.
+    """
 
     def judge(frames):
         for frame in frames:
-            reason = [trivial(d, n or "", p) for d, n, p in zip(frame["docstring"], frame["name"], frame["params"])]
+            doc = [s if d is not None and s is not None and _same_words(s, d) else d for s, d in zip(frame["source_doc"], frame["docstring"])]
+            reason = [trivial(d, n or "", p) for d, n, p in zip(doc, frame["name"], frame["params"])]
             yield frame.drop(columns=["name", "params"]).assign(reason=reason)
 
-    rows = joined.select("qualified_name", "kind", "language", "file_path", "code", "docstring", "source_doc", "name", "params")
+    rows = _matched(parses, nodes, code, "inner").select("qualified_name", "kind", "language", "file_path", "code", "docstring", "source_doc", "name", "params")
     return rows.mapInPandas(judge, "qualified_name string, kind string, language string, file_path string, code string, docstring string, source_doc string, reason string")
+
+
+def unpaired(parses: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qualified_name, kind, file_path, docstring) of the nodes whose function no latest parse holds where they say."""
+    return _matched(parses, nodes, False, "left_anti").select("qualified_name", "kind", "file_path", "docstring")

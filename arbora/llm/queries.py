@@ -46,7 +46,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Code and description of the pairs worth keeping."""
     found = docpairs.pairs(table(spark, d, "parse_results"), table(spark, d, "nodes"))
-    return found.where(F.col("reason").isNull() & F.col("code").isNotNull()).select("qualified_name", "language", "code", "docstring")
+    return found.where(F.col("reason").isNull()).select("qualified_name", "language", "code", "docstring")
+
+
+def p6_unpaired(spark: SparkSession, d: str) -> DataFrame:
+    """Function and method nodes that no source file holds where they say."""
+    return docpairs.unpaired(table(spark, d, "parse_results"), table(spark, d, "nodes"))
 
 
 def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -56,13 +61,13 @@ def p6_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.where("run >= 12").select("doc_id", "item_id")
+    return found.where("distance = 0").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     """Items by the documents that hold a passage of theirs, changed in no more than one word."""
     found = leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum((F.col("run") >= 12).cast("int")).alias("unchanged"), F.max("run").alias("longest_run"))
+    return found.groupBy("item_id").agg(F.count("*").alias("documents"), F.sum((F.col("distance") == 0).cast("int")).alias("unchanged"), F.max("run").alias("longest_run"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +87,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters, p5_found, p5_rates, p6_found, p6_pairs, p6_reasons, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_clusters, p5_found, p5_rates, p6_found, p6_pairs, p6_unpaired, p6_reasons, p8_found, p8_items, p9_mix, p9_shares, p10_found, p10_restored)}
 
 SQL = {
     "p2_found": """

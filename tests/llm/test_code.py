@@ -114,10 +114,12 @@ def test_extraction():
 
 
 def test_pairs(spark):
-    parses = spark.createDataFrame([("r", "a.py", "python", "def f(a):\n    '''Says it.'''\n    return a\n", None, DAY(1), 1, 1)], PARSES)
-    nodes = spark.createDataFrame([("m.f", "Function", "f", "a.py", 1, "Says it.", 0), ("m.f", "Function", "f", "a.py", 1, "Says it.", 0), ("m.g", "Method", "g", "gone.py", 3, "f", 0), ("m.h", "Function", None, None, None, None, 0), ("m.C", "Class", "C", "a.py", 1, "Says.", 0), (None, "Function", "f", "a.py", 1, "Says.", 0)], "qualified_name string, kind string, name string, file_path string, range_start int, docstring string, code int")
+    parses = spark.createDataFrame([("r", "a.py", "python", "def f(a):\n    '''Says it.'''\n    return a\n\ndef i():\n    'Says it.'\n\ndef j():\n    'Says it.'\n", None, DAY(1), 1, 1)], PARSES)
+    nodes = spark.createDataFrame([("m.f", "Function", "f", "a.py", 1, "Says it.", 0), ("m.f", "Function", "f", "a.py", 1, "Says it.", 0), ("m.g", "Method", "g", "gone.py", 3, "f", 0), ("m.h", "Function", None, None, None, None, 0), ("m.i", "Function", "i", "a.py", 5, "noqa: D100", 0), ("m.j", "Method", "j", "a.py", 8, None, 0), ("m.C", "Class", "C", "a.py", 1, "Says.", 0), (None, "Function", "f", "a.py", 1, "Says.", 0)], "qualified_name string, kind string, name string, file_path string, range_start int, docstring string, code int")
     got = {r["qualified_name"]: r for r in P.pairs(parses, nodes).collect()}
-    assert set(got) == {"m.f", "m.g", "m.h"}
+    assert set(got) == {"m.f", "m.i", "m.j"}
+    assert got["m.i"]["reason"] == "directive" and got["m.j"]["reason"] == "missing"  # the node's words count where they differ
     assert got["m.f"]["reason"] is None and got["m.f"]["code"].startswith("def f") and got["m.f"]["source_doc"] == "'''Says it.'''"
-    assert got["m.h"]["reason"] == "missing" and got["m.g"]["code"] is None and got["m.g"]["reason"] is None
-    assert P.pairs(parses.limit(0), nodes.limit(0)).count() == 0
+    assert {r["qualified_name"] for r in P.unpaired(parses, nodes).collect()} == {"m.g", "m.h"}
+    assert P.pairs(parses.limit(0), nodes).count() == 0 and P.pairs(parses, nodes.limit(0)).count() == 0
+    assert P.unpaired(parses.limit(0), nodes).count() == 5 and P.unpaired(parses, nodes.limit(0)).count() == 0
