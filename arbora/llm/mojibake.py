@@ -1,9 +1,11 @@
 """Text that was decoded with a wrong character encoding: found, and restored where that is still possible.
 
-Counts of adjacent characters over the whole corpus give every pair its share of the corpus' mutual information. Pairs with next to
-no share are improbable; maximum-scoring segments isolate the runs they make up. Inside these runs only, inverse mappings are tested:
-the characters are encoded as the wrong encoding did not, decoded as the right one, and kept if the corpus finds the outcome clearly
-more probable. Pure ASCII is never improbable here, as no mapping tested yields it.
+Counts of adjacent characters over the whole corpus give every pair its share of the corpus' mutual information. Among the pairs with
+a character beyond ASCII, those of the greatest shares, which together make up nearly all of it, are probable, the others improbable,
+the more so the less their share; maximum-scoring segments isolate the runs they make up. Inside these runs only, inverse mappings are
+tested: the characters are encoded as the wrong encoding did not, decoded as the right one, and kept if the corpus finds the outcome
+clearly more probable. Characters that were lost count only inside runs, too. Pure ASCII is never improbable here, as no mapping tested
+yields it.
 """
 
 from __future__ import annotations
@@ -35,17 +37,22 @@ ALPHABETS = {
     "mac-roman": ("cp1252",),
     "iso8859-2": ("cp1252",),
 }
+BLANK = frozenset(" \t\n\r")
 OPEN, CLOSE = "\"'`«“‘„‹「『(", "\"'`»”’“›」』)"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rare: share of the mutual information below which a pair is improbable. gain: bits a pair that a restored run must save on
+    """probable: the part of the mutual information beyond ASCII that probable pairs make up. floor: information of
 
-    average. gain_alphabet: the same for mappings that keep the number of characters. layers: wrong decodings undone one after another.
+    a pair in bits, at least, since a common pair is no improbable one for being rarer than chance. least: score of a run, 1 being that
+    of a pair never seen. gain: bits a pair that a restored run must save on average. gain_alphabet: the same for mappings that keep the
+    number of characters. layers: wrong decodings undone one after another.
     """
 
-    rare: float = 2e-3
+    probable: float = 0.95
+    floor: float = 0.5
+    least: float = 0.5
     gain: float = 1.0
     gain_alphabet: float = 2.5
     layers: int = 4
@@ -77,11 +84,14 @@ def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Pairs:
-    """Costs in bits and improbability marks of symbol pairs; size is bound by the alphabet, not by the corpus."""
+    """Costs in bits and improbability of symbol pairs; size is bound by the alphabet, not by the corpus.
+
+    score: 1 for pairs never seen, less the nearer their share is to that of the least probable pair, -0.6 for probable ones.
+    """
 
     index: dict[int, int]
     cost: np.ndarray
-    rare: np.ndarray
+    score: np.ndarray
     unseen: float
     lookup: np.ndarray = field(default=None)
 
@@ -95,20 +105,24 @@ class Pairs:
 
 
 def pair_model(counts: pd.DataFrame, settings: Settings) -> Pairs:
-    """From the counts of all pairs: cost = -log2 p(ab); rare where p(ab) log2(p(ab) / p(a)p(b)) is below its share of the sum."""
+    """From the counts of all pairs: cost = -log2 p(ab), share = p(ab) max(floor, log2(p(ab) / p(a)p(b)))."""
     a, b, n = (counts[c].to_numpy(np.int64) for c in "abn")
     names = np.unique(np.concatenate([a, b])) if len(n) else np.zeros(0, np.int64)
     index = {int(s): i + 1 for i, s in enumerate(names)}  # 0 stands for symbols never seen
     size, total = len(names) + 1, max(1, n.sum())
     cost = np.full((size, size), math.log2(total / 0.25), np.float64)
-    rare = np.ones((size, size), bool)
+    score = np.ones((size, size), np.float32)
     if len(n):
         ia, ib = np.searchsorted(names, a) + 1, np.searchsorted(names, b) + 1
         p, pa, pb = n / total, np.bincount(ia, n, size) / total, np.bincount(ib, n, size) / total
-        share = p * np.log2(p / (pa[ia] * pb[ib]))
+        share = p * np.maximum(np.log2(p / (pa[ia] * pb[ib])), settings.floor)
         cost[ia, ib] = -np.log2(p)
-        rare[ia, ib] = share < settings.rare * np.abs(share).sum()
-    return Pairs(index, cost, rare, math.log2(total / 0.25))
+        mass = np.where((a > 127) | (b > 127), share, 0)
+        order = np.argsort(-mass, kind="stable")
+        last = order[min(np.searchsorted(np.cumsum(mass[order]), settings.probable * mass.sum()), len(order) - 1)]
+        low = np.log2(np.maximum(mass[last], 1e-300) / np.maximum(mass, 1e-300))
+        score[ia, ib] = np.where(mass >= mass[last], -0.6, np.clip(low / 4, 0.05, 1))
+    return Pairs(index, cost, score, math.log2(total / 0.25))
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
@@ -166,16 +180,26 @@ class Restorer:
         return bool((self.pairs.cost[ids[:-1], ids[1:]] < self.pairs.unseen).all())
 
     def runs(self, text: str) -> list[tuple[int, int]]:
-        """Improbable runs [start, end), widened to the words they touch; none without a character beyond ASCII."""
+        """Improbable runs [start, end), widened to the words they touch; none without a character beyond ASCII.
+
+        A word ends at ASCII blanks only, since others come out of wrong decodings, and, where a script has no blanks, at a probable
+        pair.
+        """
         ids = self.pairs.ids(text)
-        wide = _codes(text) > 127
-        score = np.where(self.pairs.rare[ids[:-1], ids[1:]] & (wide[:-1] | wide[1:]), 1.0, -0.6)
+        codes = _codes(text)
+        wide, dense = codes > 127, (codes >= 0x3040) & (codes < 0xE000) | (codes >= 0xF900) & (codes < 0xFF00)
+        score = np.where(wide[:-1] | wide[1:], self.pairs.score[ids[:-1], ids[1:]], -0.6)
+        score = np.where((codes[:-1] == 0xFFFD) | (codes[1:] == 0xFFFD), 1.0, score)  # lost characters are never probable
+        total = np.concatenate([[0.0], np.cumsum(score)])
+        ends = np.concatenate([[False], dense[:-1] & dense[1:] & (score < 0), [False]])  # of words, before the character
         found: list[tuple[int, int]] = []
         for a, b in segments(score):
+            if total[b] - total[a] < self.settings.least:
+                continue
             b += 1
-            while a > 0 and not text[a - 1].isspace():
+            while a > 0 and text[a - 1] not in BLANK and not ends[a]:
                 a -= 1
-            while b < len(text) and not text[b].isspace():
+            while b < len(text) and text[b] not in BLANK and not ends[b]:
                 b += 1
             if found and a <= found[-1][1]:
                 found[-1] = found[-1][0], max(b, found[-1][1])
@@ -255,10 +279,11 @@ class Restorer:
             if not changed:
                 break
             text, garbled = "".join(out), True
-        for i in [i for i, c in enumerate(text) if c == "�"]:
-            around = (text[i - 1 : i] + text[i + 1 : i + 2]).replace("�", "x")
-            if any(c.isalnum() for c in around):
-                garbled = lost = True
+        for a, b in self.runs(text) if "\ufffd" in text else ():
+            for i in range(a, b):
+                around = (text[i - 1 : i] + text[i + 1 : i + 2]).replace("\ufffd", "x")
+                if text[i] == "\ufffd" and any(c.isalnum() for c in around):
+                    garbled = lost = True
         return text, list(dict.fromkeys(mappings)), garbled, lost
 
     def _restore(self, text: str, a: int, b: int, mappings: list[str]) -> str:
