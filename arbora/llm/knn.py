@@ -264,34 +264,31 @@ def nearest(query: np.ndarray, own: np.ndarray, ids: np.ndarray, units: np.ndarr
     return held.sum(1), member[every, order][held], value[every, order][held]
 
 
-def plan_tasks(sizes: dict[int, int], order: np.ndarray, probes: int, settings: Settings) -> tuple[list[tuple], list[tuple], bool]:
-    """(queries, members, single): routes (list, ways, way, task) of both roles, and whether every query goes to one task only.
+def plan_groups(sizes: dict[int, int], order: np.ndarray, probes: int, settings: Settings) -> tuple[list[tuple], list[tuple], bool]:
+    """(queries, members, single): rows (list, group, q_ways, m_ways) of both roles, and whether every query goes to one task only.
 
     A group takes lists that lie close together until it has enough queries; its members are all lists they probe. Groups with too
-    many members or queries are divided by a hash of the blocks (ways, way), so that no task grows with a hot list.
+    many members or queries are divided by a hash of the blocks into q_ways times m_ways tasks, so that no task grows with a hot list.
+    At most as many rows as lists, and lists times probed lists: bounded by the model, however many ways there are.
     """
-    free = [c for c in sizes if sizes[c]]
-    left, queries, members, task, single = set(free), [], [], 0, True
-    for first in sorted(free):
+    left, queries, members, group, single = {c for c in sizes if sizes[c]}, [], [], 0, True
+    for first in sorted(left):
         if first not in left:
             continue
-        group, total = [], 0
+        own, total = [], 0
         for c in map(int, order[first]):
-            if c in left and (not group or total + sizes[c] <= settings.task_queries):
-                group.append(c)
+            if c in left and (not own or total + sizes[c] <= settings.task_queries):
+                own.append(c)
                 total += sizes[c]
                 left.discard(c)
             elif c in left:
                 break
-        needed = sorted({int(c) for g in group for c in order[g][:probes] if sizes.get(int(c))})
-        amount = sum(sizes[c] for c in needed)
-        q_ways, m_ways = -(-total // (2 * settings.task_queries)), -(-amount // settings.task_members)
-        single &= m_ways == 1
-        for a in range(q_ways):
-            for b in range(m_ways):
-                queries += [(c, q_ways, a, task) for c in group]
-                members += [(c, m_ways, b, task) for c in needed]
-                task += 1
+        needed = sorted({int(c) for g in own for c in order[g][:probes] if sizes.get(int(c))})
+        ways = -(-total // (2 * settings.task_queries)), -(-sum(sizes[c] for c in needed) // settings.task_members)
+        single &= ways[1] == 1
+        queries += [(c, group, *ways) for c in own]
+        members += [(c, group, *ways) for c in needed]
+        group += 1
     return queries, members, single
 
 
@@ -300,11 +297,13 @@ def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: i
     spark = groups.sparkSession
     sizes = {r["list"]: r["n"] for r in blocks.groupBy("list").agg(F.sum("n").alias("n")).collect()}
     order = probe_order(model)
-    asked, held, single = plan_tasks(sizes, order, probes, settings)
-    schema = "list int, ways int, way int, task int, asked boolean"
-    # at most max_lists rows a task and role: bounded by the model, not by the data
-    routes = spark.createDataFrame([(*r, True) for r in asked] + [(*r, False) for r in held], schema)
-    routed = blocks.join(F.broadcast(routes), "list").where(F.pmod(F.xxhash64("ids"), F.col("ways")) == F.col("way"))
+    asked, held, single = plan_groups(sizes, order, probes, settings)
+    routes = spark.createDataFrame([(*r, True) for r in asked] + [(*r, False) for r in held], "list int, group int, q_ways int, m_ways int, asked boolean")
+    # a block of queries goes to one way of queries and every way of members, a block of members the other way round
+    way = lambda ways: F.pmod(F.xxhash64("ids"), F.col(ways)).cast("int")
+    every = lambda ways: F.sequence(F.lit(0), F.col(ways) - 1)
+    q, m = F.when(F.col("asked"), F.array(way("q_ways"))).otherwise(every("q_ways")), F.when(F.col("asked"), every("m_ways")).otherwise(F.array(way("m_ways")))
+    routed = blocks.join(F.broadcast(routes), "list").withColumn("q", F.explode(q)).withColumn("m", F.explode(m)).drop("q_ways", "m_ways")
     shared = spark.sparkContext.broadcast((model, order[:, :probes]))
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -333,9 +332,9 @@ def neighbours(groups: DataFrame, blocks: DataFrame, model: quantise.Model, k: i
         ends = np.cumsum(np.concatenate(counts))[:-1]
         return pd.DataFrame({"uid": np.concatenate(out_id), "near": np.split(np.concatenate(out_near), ends), "sim": np.split(np.concatenate(out_sim).astype(np.float32), ends)})
 
-    tasks = max((r[3] for r in asked), default=0) + 1
-    placed = routed.repartition(min(max(tasks, 1), 8 * spread(groups)), "task")
-    rows = placed.groupBy("task").applyInPandas(search, "uid long, near array<long>, sim array<float>")
+    tasks = sum(ways[0] * ways[1] for ways in {r[1]: r[2:] for r in asked}.values())
+    placed = routed.repartition(min(max(tasks, 1), 8 * spread(groups)), "group", "q", "m")
+    rows = placed.groupBy("group", "q", "m").applyInPandas(search, "uid long, near array<long>, sim array<float>")
     near = rows.select("uid", F.arrays_zip("sim", "near").alias("near"))
     if single:
         return near
