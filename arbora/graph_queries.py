@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import vectors as V
@@ -15,6 +15,7 @@ from arbora.operators import ranking as R
 from arbora.operators import retrieval as Q
 from arbora.operators import traversal as T
 from arbora.plans.optimizer import TraversalPlan, optimize
+from arbora.sources import ingest, walk
 from arbora.schema import COMMUNITY_WEIGHTS, IMPACT_EDGES, OTHER_WEIGHT, RANKED_EDGES, SEMANTIC_KINDS, SKIPPED_FOR_EMBEDDING, TAINT_EDGES, WEIGHTS
 from arbora.functions.words import LABEL_STOP, LEXICAL_STOP
 from arbora.streaming.refresh import windowed_counts
@@ -126,9 +127,9 @@ def symbols_in_file(spark, d):
 
 
 @query("""SELECT n.qualified_name, n.kind, n.parent_qualified AS parent, coalesce(a.l, []) AS callers, coalesce(b.l, []) AS callees, coalesce(c.l, []) AS "references" FROM n
-  LEFT JOIN (SELECT target AS q, list_sort(list(DISTINCT source))[1:100] AS l FROM e WHERE kind = 'CALLS' GROUP BY 1) a ON a.q = n.qualified_name
-  LEFT JOIN (SELECT source AS q, list_sort(list(DISTINCT target))[1:100] AS l FROM e WHERE kind = 'CALLS' GROUP BY 1) b ON b.q = n.qualified_name
-  LEFT JOIN (SELECT target AS q, list_sort(list(DISTINCT source))[1:100] AS l FROM e WHERE kind IN ('REFERENCES', 'USES', 'READS', 'WRITES') GROUP BY 1) c ON c.q = n.qualified_name""")
+  LEFT JOIN (SELECT target AS q, list_sort(list(DISTINCT source)) AS l FROM e WHERE kind = 'CALLS' GROUP BY 1) a ON a.q = n.qualified_name
+  LEFT JOIN (SELECT source AS q, list_sort(list(DISTINCT target)) AS l FROM e WHERE kind = 'CALLS' GROUP BY 1) b ON b.q = n.qualified_name
+  LEFT JOIN (SELECT target AS q, list_sort(list(DISTINCT source)) AS l FROM e WHERE kind IN ('REFERENCES', 'USES', 'READS', 'WRITES') GROUP BY 1) c ON c.q = n.qualified_name""")
 def symbol_cards(spark, d):
     return G.symbol_card(_nodes(spark, d), _edges(spark, d))
 
@@ -144,11 +145,12 @@ def symbol_search(spark, d):
     return G.search_symbols(table(spark, d, "symbols"), "merge").select("qualified_name", "display_name").distinct()
 
 
-@query("""SELECT n.qualified_name, n.qualified_name = (SELECT h FROM hub) AS exact FROM n WHERE qualified_name = (SELECT h FROM hub) OR name = (SELECT h FROM hub)""")
+@query("""SELECT n.qualified_name, n.qualified_name = x.name AS exact FROM n, (SELECT name FROM n WHERE name IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) x WHERE n.qualified_name = x.name OR n.name = x.name""")
 def find_nodes(spark, d):
-    nodes, edges = _nodes(spark, d), _edges(spark, d)
-    hub = _hub(edges, nodes).first()
-    return G.find(nodes, hub[0] if hub else "").select("qualified_name", "exact")
+    """All nodes of the most common name."""
+    nodes = _nodes(spark, d)
+    most = nodes.where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "name").first()
+    return G.find(nodes, most[0] if most else "").select("qualified_name", "exact")
 
 
 @query(f"""SELECT kind, source, target, min(edge_id) AS edge_id FROM e WHERE source IN (SELECT qualified_name FROM n WHERE kind IN ({_list(SEMANTIC_KINDS)})) AND target IN (SELECT qualified_name FROM n WHERE kind IN ({_list(SEMANTIC_KINDS)})) GROUP BY 1, 2, 3""")
@@ -209,15 +211,24 @@ def symbol_homonyms(spark, d):
     return symbols.select(F.col("qualified_name").alias("name"), short.alias("x")).distinct().join(counts, "x").select("name", "homonyms")
 
 
-@query()
+_RESOLVED = f"""sy AS (SELECT DISTINCT ON (qualified_name) qualified_name AS k, kind, file_path AS fp, coalesce(display_name, regexp_extract(qualified_name, '[^.]*$')) AS short FROM symbols WHERE qualified_name IS NOT NULL),
+asked AS (SELECT target AS name, arg_min(file_path, edge_id) AS context FROM e WHERE kind = 'CALLS' AND target NOT IN (SELECT qualified_name FROM n) GROUP BY 1),
+fits AS (SELECT name, context, k, 0 AS level, kind, fp FROM asked JOIN sy ON sy.k = name UNION ALL SELECT name, context, k, 1, kind, fp FROM asked JOIN sy ON sy.short = regexp_extract(name, '[^.]*$')),
+ordered AS (SELECT *, NOT coalesce(fp = context, false) AS other, row_number() OVER (PARTITION BY name, context ORDER BY level, NOT coalesce(fp = context, false), CASE WHEN coalesce(list_position([{_list(G.KIND_PREFERENCE)}], kind), 0) = 0 THEN 99 ELSE list_position([{_list(G.KIND_PREFERENCE)}], kind) END, k) AS r FROM fits),
+rs AS MATERIALIZED (SELECT o.name, o.context, o.k AS resolved, CASE WHEN o.level = 0 THEN 'exact' WHEN c.n = 1 THEN 'unique' WHEN NOT o.other THEN 'same_file' ELSE 'preferred' END AS rule
+  FROM ordered o JOIN (SELECT name, context, count(DISTINCT k) AS n FROM fits GROUP BY 1, 2) c ON c.name = o.name AND c.context IS NOT DISTINCT FROM o.context WHERE o.r = 1)"""
+
+
+@query(f", {_RESOLVED} SELECT name, context, resolved, rule FROM rs")
 def resolved_calls(spark, d):
     missing = G.unresolved(_edges(spark, d), _nodes(spark, d))
     return G.resolve(missing.select(F.col("target").alias("name"), "context"), table(spark, d, "symbols"))
 
 
-@query("SELECT kind, count(*) AS edges FROM e GROUP BY 1")
+@query(f", {_RESOLVED} SELECT e.kind, coalesce(rs.resolved, e.target) AS target, count(*) AS edges FROM e LEFT JOIN rs ON e.kind = 'CALLS' AND rs.name = e.target GROUP BY 1, 2")
 def enriched_edges(spark, d):
-    return G.enrich(_edges(spark, d), _nodes(spark, d), table(spark, d, "symbols")).groupBy("kind").agg(F.count("*").alias("edges"))
+    """Edges by kind and the target they have once calls are resolved."""
+    return G.enrich(_edges(spark, d), _nodes(spark, d), table(spark, d, "symbols")).groupBy("kind", "target").agg(F.count("*").alias("edges"))
 
 
 @query(""", t AS (SELECT qualified_name AS source, file_path, unnest([regexp_extract(name, '^test_(.+)$', 1), regexp_extract(name, '^test(.+)$', 1)]) AS subject FROM n WHERE kind = 'Test')
@@ -243,11 +254,20 @@ def impact_radius(spark, d):
     return T.depths(edges, nodes.where(F.col("kind") == "Module"), 3, nodes=nodes)
 
 
-@query(_walk("outbound", None, 3, "SELECT h AS q, 0 AS depth FROM hub") + " SELECT q AS qualified_name, min(depth)::INT AS depth FROM w GROUP BY 1")
+def _first(seeds: str, depth: int, limit: int) -> str:
+    """The nodes found from the seeds in the order of a breadth-first walk, each by its first path."""
+    return f""", bw AS (SELECT q, 0 AS depth, [q] AS path, []::VARCHAR[] AS kinds, [('0x' || substr(md5(q), 1, 15))::BIGINT] AS visit FROM ({seeds}) WHERE q IN (SELECT qualified_name FROM n)
+  UNION ALL SELECT e.target, depth + 1, list_append(path, e.target), list_append(kinds, e.kind), list_append(visit, e.edge_id) FROM bw JOIN e ON e.source = bw.q WHERE depth < {depth} AND e.target IN (SELECT qualified_name FROM n)),
+  bf AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY depth, visit) AS r FROM bw) WHERE r = 1 ORDER BY depth, visit LIMIT {limit})"""
+
+
+@query(_first("SELECT h AS q FROM hub", 3, 10_000) + " SELECT q AS qualified_name, depth::INT AS depth, array_to_string(path, ' > ') AS path, array_to_string(kinds, ' > ') AS edge_kinds, row_number() OVER (ORDER BY depth, visit) AS place FROM bf")
 def bfs_hub(spark, d):
+    """What a walk from the hub finds, with the paths and in the order it finds them."""
     nodes, edges = _graph(spark, d)
-    found = T.bfs(nodes, edges, _hub(edges, nodes), TraversalPlan(max_depth=3, max_nodes=T.ALL_NODES))
-    return found.select("qualified_name", "depth")
+    found = T.bfs(nodes, edges, _hub(edges, nodes), TraversalPlan(max_depth=3, max_nodes=10_000))
+    order = Window.partitionBy(F.lit("all")).orderBy("depth", "visit")  # at most 10,000 rows
+    return found.select("qualified_name", "depth", F.array_join("path", " > ").alias("path"), F.array_join("edge_kinds", " > ").alias("edge_kinds"), F.row_number().over(order).cast("long").alias("place"))
 
 
 @query(_walk("inbound", IMPACT_EDGES, 4, "SELECT h AS q, 0 AS depth FROM hub") + f"""
@@ -391,18 +411,25 @@ _PPR = _unrolled(
        FROM n LEFT JOIN (SELECT sh.t, sum(p.v * sh.w) AS v FROM sh JOIN PREV p ON p.q = sh.s GROUP BY 1) g ON g.t = n.qualified_name)""", 8)
 
 
-@query(f""", we AS MATERIALIZED (SELECT source AS s, target AS t, {_case(WEIGHTS)}::DOUBLE AS w FROM e), sh AS MATERIALIZED (SELECT s, t, w / total AS w FROM (SELECT s, t, sum(w) AS w FROM we GROUP BY 1, 2) JOIN (SELECT s, sum(w) AS total FROM we GROUP BY 1) USING (s)
-  WHERE s IN (SELECT qualified_name FROM n) AND t IN (SELECT qualified_name FROM n)), {_PPR} SELECT q AS qualified_name, round(v, 8) AS score FROM p8""")
+_SHARES = f"""we AS MATERIALIZED (SELECT source AS s, target AS t, {_case(WEIGHTS)}::DOUBLE AS w FROM e), sh AS MATERIALIZED (SELECT s, t, w / total AS w FROM (SELECT s, t, sum(w) AS w FROM we GROUP BY 1, 2) JOIN (SELECT s, sum(w) AS total FROM we GROUP BY 1) USING (s)
+  WHERE s IN (SELECT qualified_name FROM n) AND t IN (SELECT qualified_name FROM n))"""
+
+
+@query(f""", {_SHARES}, {_PPR} SELECT q AS qualified_name, round(v, 8) AS score FROM p8""")
 def personalised_rank(spark, d):
     nodes, edges = _graph(spark, d)
     return R.personalised(nodes, edges, _hub(edges, nodes), rounds=8, tolerance=0.0).withColumn("score", F.round("score", 8))
 
 
-@query()
+@query(f""", {_SHARES}, {_PPR}, hv AS (SELECT vector::DOUBLE[] AS b FROM v WHERE qualified_name = (SELECT h FROM hub)),
+  fc AS (SELECT qualified_name AS q, greatest(round(list_cosine_similarity(vector::DOUBLE[], b), 9), 0) AS c FROM v, hv WHERE len(list_filter(vector, lambda x: x <> 0)) > 0),
+  fj AS (SELECT p8.q, p8.v AS ppr, coalesce(fc.c, 0) AS semantic, coalesce(f.n, 0) AS n FROM p8 LEFT JOIN (SELECT target AS q, count(*) AS n FROM e GROUP BY 1) f ON f.q = p8.q LEFT JOIN fc ON fc.q = p8.q),
+  fz AS (SELECT q, ppr, semantic, n / greatest((SELECT max(n) FROM fj), 1) AS structural FROM fj)
+  SELECT q AS qualified_name, round(ppr, 6) AS ppr, round(semantic, 6) AS semantic, round(structural, 6) AS structural, round(0.5 * ppr + 0.3 * semantic + 0.2 * structural, 6) AS combined FROM fz ORDER BY round(0.5 * ppr + 0.3 * semantic + 0.2 * structural, 9) DESC, q LIMIT 50""")
 def fused_rank(spark, d):
     nodes, edges = _graph(spark, d)
     hub = _hub(edges, nodes)
-    ranked = R.personalised(nodes, edges, hub)
+    ranked = R.personalised(nodes, edges, hub, rounds=8, tolerance=0.0)
     return R.fuse(ranked, edges, _cosines(spark, d, hub)).select("qualified_name", *[F.round(c, 6).alias(c) for c in ("ppr", "semantic", "structural", "combined")])
 
 
@@ -433,9 +460,10 @@ def lexical_weights(spark, d):
     return E.token_weights(E.texts(_nodes(spark, d)))
 
 
-@query()
+@query(f""", {_TEXT} SELECT qualified_name, CASE WHEN len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2 AND t NOT IN ({_list(LEXICAL_STOP)}))) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM tx""")
 def lexical_vectors(spark, d):
-    return E.embed(E.texts(_nodes(spark, d)), E.provider("lexical", dims=256)).select("qualified_name", V.norm(F.col("vector").cast("array<double>")).alias("length"))
+    """Lengths of the vectors: 1 for every text with a word that counts, else 0."""
+    return E.embed(E.texts(_nodes(spark, d)), E.provider("lexical", dims=256)).select("qualified_name", F.round(V.norm(F.col("vector").cast("array<double>")), 5).alias("length"))
 
 
 _COS = "CASE WHEN sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)) > 0 THEN list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) ELSE 0 END"
@@ -581,12 +609,21 @@ def retrieval_hits(spark, d):
     return _cosines(spark, d, _hub(edges, nodes)).where("cosine >= 0.1").orderBy(F.desc("cosine"), "qualified_name").limit(20)
 
 
-@query()
+_RANKED = f""", {_RETRIEVE}, hit AS MATERIALIZED (SELECT q, c FROM hc WHERE c >= 0.1 ORDER BY c DESC, q LIMIT 20), head AS MATERIALIZED (SELECT q FROM hit ORDER BY c DESC, q LIMIT 5)""" + _first("SELECT q FROM head", 3, 26) + """,
+  cand AS (SELECT coalesce(hit.q, bf.q) AS q, coalesce(c, 0) AS semantic, depth, coalesce(CASE WHEN depth = 0 THEN 1.0 ELSE 1 / (1 + ln(1 + depth / greatest((SELECT max(depth) FROM bf), 1))) END, 0) AS graph FROM hit FULL JOIN bf ON bf.q = hit.q),
+  graded AS (SELECT cand.*, coalesce(br.v, 0) AS centrality, (m.cluster_id IS NOT NULL AND m.cluster_id IN (SELECT cluster_id FROM m WHERE qualified_name IN (FROM head)))::INT::DOUBLE AS cluster, n.file_path FROM cand LEFT JOIN br ON br.q = cand.q LEFT JOIN m ON m.qualified_name = cand.q LEFT JOIN n ON n.qualified_name = cand.q),
+  best AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, q) AS rank FROM (SELECT *, round(0.40 * semantic + 0.25 * graph + 0.20 * centrality + 0.15 * cluster, 6) AS score FROM graded) ORDER BY score DESC, q LIMIT 10)"""
+
+
+@query(_RANKED + """ SELECT rank, q AS qualified_name, score, round(semantic, 6) AS semantic, round(graph, 6) AS graph, round(centrality, 6) AS centrality, cluster, depth::INT AS depth, file_path FROM best""")
 def retrieve(spark, d):
-    return _retrieved(spark, d)[0]
+    return _retrieved(spark, d)[0].withColumn("rank", F.col("rank").cast("long"))
 
 
-@query()
+@query(_RANKED + """, blk AS (SELECT rank, rank || '. ' || coalesce('[' || n.kind || '] ', '') || q || chr(10) || '   ' || coalesce(best.file_path, '') || CASE WHEN range_start > 0 THEN ':' || range_start ELSE '' END || '  score ' || format('{:.4f}', score)
+    || CASE WHEN coalesce(docstring, '') <> '' THEN chr(10) || '   ' || regexp_replace(docstring, '\\s+', ' ', 'g') ELSE '' END AS b FROM best LEFT JOIN n ON n.qualified_name = best.q),
+  fit AS (SELECT *, 23 + sum(length(b) + 1) OVER (ORDER BY rank) <= 12000 AS kept FROM blk)
+  SELECT '# Context for: the hub' || chr(10) || coalesce(string_agg(b, chr(10) ORDER BY rank) FILTER (kept), '') || CASE WHEN count(*) FILTER (NOT kept) > 0 THEN chr(10) || '… ' || count(*) FILTER (NOT kept) || ' more omitted' ELSE '' END AS context FROM fit""")
 def context(spark, d):
     found, nodes, _ = _retrieved(spark, d)
     return Q.context(found, nodes, "the hub")
@@ -625,6 +662,39 @@ def export_clusters(spark, d):
     return _views(spark, d)[2]
 
 
-@query()
+@query(f""", {_RETRIEVE}, th AS (SELECT v AS t FROM (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS c FROM br) WHERE i = floor(c * 0.9))
+  SELECT (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM n JOIN br ON br.q = n.qualified_name WHERE br.v >= (SELECT t FROM th)) AS hotspot_count, (SELECT list_sort(list(DISTINCT language)) FROM n WHERE language <> '') AS languages,
+  (SELECT count(*) FROM e) AS edge_count, (SELECT count(DISTINCT cluster_id) FROM m) AS cluster_count""")
 def export_metadata(spark, d):
     return X.metadata(*_views(spark, d))
+
+
+# --- ingestion ---------------------------------------------------------------------------------------------------------------
+
+
+def _latest_files(spark, d) -> DataFrame:
+    """The latest parse of every source file, its language told by the extension."""
+    rows = table(spark, d, "parse_results").where(F.col("file_path").isNotNull())
+    last = rows.groupBy("file_path").agg(F.max(F.struct("parsed_at", "source_text")).alias("v")).select("file_path", "v.source_text")
+    return last.withColumn("language", walk.language_column(F.col("file_path"), walk.extension_map())).where("language IS NOT NULL")
+
+
+@query("""SELECT qualified_name, kind, range_start FROM n WHERE FALSE""")
+def ingested_missing(spark, d):
+    """Function and method nodes whose file parses as Python and whose name and line the ingestion doesn't find there; there are none."""
+    facts = ingest.extract(_latest_files(spark, d).where("language = 'python'"))
+    broken = facts.where("fact = 'error'").select("file_path")
+    seen = facts.where("fact = 'node'").select("file_path", "name", F.col("line").alias("range_start"))
+    wanted = _nodes(spark, d).where(F.col("kind").isin("Function", "Method") & F.col("file_path").rlike(r"\.py$")).select("qualified_name", "kind", "name", "file_path", "range_start")
+    return wanted.join(broken, "file_path", "left_anti").join(seen, ["file_path", "name", "range_start"], "left_anti").select("qualified_name", "kind", "range_start")
+
+
+@query()
+def ingested_nodes(spark, d):
+    """What the ingestion of all source files finds, by language and kind."""
+    return ingest.build(_latest_files(spark, d))[0].groupBy("language", "kind").agg(F.count("*").alias("nodes"))
+
+
+@query()
+def ingested_edges(spark, d):
+    return ingest.build(_latest_files(spark, d))[1].groupBy("kind").agg(F.count("*").alias("edges"), F.count_distinct("file_path").alias("files"))

@@ -247,7 +247,7 @@ def fuse(ranked: DataFrame, edges: DataFrame, cosines: DataFrame | None = None,
         joined, weights = joined.join(cosines.select("qualified_name", F.greatest("cosine", F.lit(0.0)).alias("semantic")), "qualified_name", "left"), (0.5, 0.3, 0.2)
     rows = joined.select("qualified_name", "ppr", F.coalesce("semantic", F.lit(0.0)).alias("semantic"), (F.coalesce("n", F.lit(0)) / F.greatest(F.coalesce("most", F.lit(1)), F.lit(1))).alias("structural"))
     combined = weights[0] * F.col("ppr") + weights[1] * F.col("semantic") + weights[2] * F.col("structural")
-    return rows.withColumn("combined", combined).orderBy(F.desc("combined"), "qualified_name").limit(k)
+    return rows.withColumn("combined", combined).orderBy(F.round("combined", 9).desc(), "qualified_name").limit(k)
 
 
 def discrimination(ranked: DataFrame) -> DataFrame:

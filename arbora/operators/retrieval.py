@@ -59,7 +59,7 @@ def context(results: DataFrame, nodes: DataFrame, query: str, max_tokens: int =
     joined = F.broadcast(results).join(known.select("qualified_name", "kind", "docstring", "range_start").dropDuplicates(["qualified_name"]), "qualified_name", "left")
     line = F.concat(F.col("rank"), F.lit(". "), F.coalesce(F.concat(F.lit("["), F.col("kind"), F.lit("] ")), F.lit("")), F.col("qualified_name"))
     place = F.concat(F.lit("   "), F.coalesce("file_path", F.lit("")), F.when(F.col("range_start") > 0, F.concat(F.lit(":"), F.col("range_start"))).otherwise(""), F.lit("  score "), F.format_number("score", 4))
-    doc = F.when(F.coalesce("docstring", F.lit("")) != "", F.concat(F.lit("\n   "), F.substring(F.regexp_replace("docstring", r"\s+", " "), 1, 200))).otherwise("")
+    doc = F.when(F.coalesce("docstring", F.lit("")) != "", F.concat(F.lit("\n   "), F.regexp_replace("docstring", r"\s+", " "))).otherwise("")
     header = f"# Context for: {query}\n"
     blocks = joined.select("rank", F.concat(line, F.lit("\n"), place, doc).alias("block"))
     window = Window.partitionBy(F.lit("all")).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)

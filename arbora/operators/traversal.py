@@ -37,7 +37,7 @@ def bfs(nodes: DataFrame, edges: DataFrame, starts: DataFrame, plan: TraversalPl
     known = nodes.select("qualified_name", "kind").dropDuplicates(["qualified_name"])
     steps = adjacency(edges, plan.direction, plan.edge_kinds)
     first = starts.select("qualified_name").distinct().join(known, "qualified_name")
-    key = F.array(F.struct(F.lit(0).alias("d"), F.xxhash64("qualified_name").alias("edge_id")))
+    key = F.array(F.struct(F.lit(0).alias("d"), F.conv(F.substring(F.md5("qualified_name"), 1, 15), 16, 10).cast("long").alias("edge_id")))
     empty = F.expr("cast(array() as array<string>)")
     bounded = plan.node_kinds is None and plan.max_nodes <= BROADCAST_NODES
     rows = first.select("qualified_name", "kind", F.lit(0).alias("depth"), F.array("qualified_name").alias("path"), empty.alias("edge_kinds"), key.alias("visit"))
