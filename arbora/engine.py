@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from arbora.operators import export as X
 from arbora.operators import graph as G
 from arbora.operators import ranking as R
 from arbora.operators import retrieval as Q
+from arbora.operators.traversal import bfs
+from arbora.plans.optimizer import TraversalPlan
 from arbora.session import cut
 from arbora.sources import ingest, walk
 from arbora.sources.config import Config, from_mapping
@@ -40,15 +43,23 @@ class Engine:
     scores: DataFrame
     files: DataFrame
     config: Config = field(default_factory=Config)
+    walks: dict = field(default_factory=dict, repr=False)
 
     # --- building ------------------------------------------------------------------------------------------------------------
 
     @classmethod
-    def build(cls, files: DataFrame, config: Config = Config()) -> Engine:
-        """From (file_path, language, source_text, mtime_ns, size), as ``walk.read_folder`` gives them."""
-        nodes, edges, _ = ingest.build(files)
+    def build(cls, files: DataFrame, config: Config = Config(), progress: Callable[[str], None] | None = None) -> Engine:
+        """From (file_path, language, source_text, mtime_ns, size), as ``walk.read_folder`` gives them.
+
+        progress is told the stage that begins: parse, prune, derive.
+        """
+        tell = progress or (lambda stage: None)
+        tell("parse")
+        nodes, edges, _ = ingest.build(files, control=config.enable_cfg, data=config.enable_dfg)
         if config.prune_graph:
+            tell("prune")
             nodes, edges = G.prune(nodes, edges)
+        tell("derive")
         return cls._derive(files.sparkSession, cut(nodes), cut(edges), None, files.select("file_path", "mtime_ns", "size"), config)
 
     @classmethod
@@ -104,7 +115,7 @@ class Engine:
             return Engine.build(files, self.config), stale
         nodes, edges = G.delete_files_narrow(self.nodes, self.edges, stale)
         again = files.join(stale.where("state <> 'removed'").select("file_path"), "file_path", "left_semi")
-        fresh_nodes, fresh_edges, _ = ingest.build(again)
+        fresh_nodes, fresh_edges, _ = ingest.build(again, control=self.config.enable_cfg, data=self.config.enable_dfg)
         nodes, edges = cut(G.upsert(nodes, fresh_nodes)), cut(G.append(edges, fresh_edges))
         how = E.provider(self.config.embedding_provider, dims=self.config.embedding_dimensions)
         return Engine._derive(self.spark, nodes, edges, E.refresh(self.vectors, nodes, stale, how), now, self.config), stale
@@ -120,12 +131,42 @@ class Engine:
 
     def retrieve(self, text: str, seeds: list[str] | None = None, intent: str | None = None) -> DataFrame:
         given = None if seeds is None else self.spark.createDataFrame([(s,) for s in seeds], "qualified_name string")
-        found = self.hits(text).where("cosine > 0")
+        found = self.hits(text).where(F.col("cosine") >= self.config.min_semantic)
         return Q.retrieve(found, self.nodes, self.edges, self.scores, C.memberships(None, self.members), given, self.config.top_k, self.config.max_tokens, self.config.bfs_depth, intent)
 
     def context(self, text: str, seeds: list[str] | None = None, intent: str | None = None, max_tokens: int = 3000) -> DataFrame:
         return Q.context(self.retrieve(text, seeds, intent), self.nodes, text, max_tokens)
 
+    def reindex(self, file: DataFrame) -> Engine:
+        """The engine after the given files, and no others, were parsed again; all files stay listed."""
+        kept = self.files.join(file.select("file_path"), "file_path", "left_anti")
+        now = kept.unionByName(file.select("file_path", "mtime_ns", "size"))
+        nodes, edges = G.delete_files_narrow(self.nodes, self.edges, file)
+        fresh_nodes, fresh_edges, _ = ingest.build(file, control=self.config.enable_cfg, data=self.config.enable_dfg)
+        nodes, edges = cut(G.upsert(nodes, fresh_nodes)), cut(G.append(edges, fresh_edges))
+        how = E.provider(self.config.embedding_provider, dims=self.config.embedding_dimensions)
+        stale = file.select("file_path", F.lit("changed").alias("state"))
+        return Engine._derive(self.spark, nodes, edges, E.refresh(self.vectors, nodes, stale, how), now, self.config)
+
+    def expand(self, results: DataFrame, files: DataFrame) -> Engine:
+        """The engine with control and data flow of the results' files only, for one that was built without; files as for ``build``.
+
+        Only these files are parsed; vectors, clusters and scores stay.
+        """
+        chosen = files.join(results.select("file_path").where("file_path IS NOT NULL").distinct(), "file_path", "left_semi")
+        nodes, edges, _ = ingest.build(chosen)
+        flow = edges.where(F.col("kind").isin("CONTROLS", "WRITES", "READS"))
+        old = self.edges.join(chosen.select("file_path"), "file_path", "left_anti").select(*self.edges.columns)
+        kept = self.edges.where(~F.col("kind").isin("CONTROLS", "WRITES", "READS")).join(chosen.select("file_path"), "file_path", "left_semi").select(*self.edges.columns)
+        return replace(self, nodes=cut(G.upsert(self.nodes, nodes.where("kind = 'Variable'"))), edges=cut(G.append(old.unionByName(kept), flow)), walks={})
+
+    def walk(self, starts: list[str], plan: TraversalPlan = TraversalPlan()) -> DataFrame:
+        """The breadth-first walk from the starts, kept for the next time the same is asked of this engine."""
+        key = tuple(sorted(set(starts))), plan
+        if key not in self.walks:
+            self.walks[key] = bfs(self.nodes, self.edges, self.spark.createDataFrame([(s,) for s in key[0]], "qualified_name string"), plan).persist()
+        return self.walks[key]
+
     def impact(self, name: str, max_depth: int = 4) -> DataFrame:
         return Q.impact(self.nodes, self.edges, self.spark.createDataFrame([(name,)], "qualified_name string"), max_depth)
 

@@ -360,6 +360,12 @@ def eigenvector(spark, d):
     return R.eigenvector(names, links).select("qualified_name", F.round("score", 6).alias("score"))
 
 
+@query()
+def directed_eigenvector(spark, d):
+    names, links = R.rankable(_nodes(spark, d), _edges(spark, d))
+    return R.directed_eigenvector(names, links).withColumn("score", F.round("score", 6))
+
+
 @query(f""", {_RANKABLE} SELECT q AS qualified_name, coalesce(i.c, 0) AS fan_in, coalesce(o.c, 0) AS fan_out, round(ln(1 + coalesce(i.c, 0) * coalesce(o.c, 0)) / ln(1 + size.c), 9) AS score
   FROM rn CROSS JOIN size LEFT JOIN (SELECT t, count(*) AS c FROM l GROUP BY 1) i ON i.t = q LEFT JOIN outs o ON o.s = q""")
 def bridge(spark, d):
@@ -589,6 +595,11 @@ def communities(spark, d):
     return C.communities(_edges(spark, d)).groupBy("cluster_id").agg(F.count("*").alias("size"))
 
 
+@query()
+def community_labels(spark, d):
+    return C.stem_labels(C.communities(_edges(spark, d)), _nodes(spark, d))
+
+
 # --- retrieval and export ----------------------------------------------------------------------------------------------------
 
 
@@ -637,6 +648,12 @@ def explain_all(spark, d):
     return Q.explain(_nodes(spark, d), _edges(spark, d))
 
 
+@query(f"""SELECT source AS symbol, 'outgoing' AS side, kind || ' ' || target AS entry FROM e WHERE kind IN ({_list(Q.OUTGOING)}) AND source IN (SELECT qualified_name FROM n)
+  UNION SELECT n.qualified_name, 'incoming', e.kind || ' ' || e.source FROM n JOIN e ON e.target = n.qualified_name WHERE e.kind IN ({_list(Q.INCOMING)}) UNION SELECT n.qualified_name, 'incoming', e.kind || ' ' || e.source FROM n JOIN e ON e.target = n.name WHERE e.kind IN ({_list(Q.INCOMING)})""")
+def explain_links(spark, d):
+    return Q.explain_links(_nodes(spark, d), _edges(spark, d))
+
+
 def _views(spark, d):
     nodes, edges, members = _nodes(spark, d), _edges(spark, d), _members(spark, d)
     degree = R.bridge(*R.rankable(nodes, edges)).withColumnRenamed("score", "composite")

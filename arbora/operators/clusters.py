@@ -152,29 +152,80 @@ def modularity(pairs: DataFrame, members: DataFrame, key: str = "qualified_name"
     return inner.crossJoin(total).select(F.round(F.col("inside") / F.col("m") - F.col("d2") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 10) -> DataFrame:
+def communities(edges: DataFrame, local_links: int = LOCAL_LINKS, rounds: int = 12) -> DataFrame:
     """(qualified_name, cluster_id): communities by modularity, ids by falling size.
 
-    Up to local_links weighted pairs one task runs local moves and aggregation until nothing improves, in the order of names. Larger
-    graphs go through ``rounds`` of distributed label propagation by weight, where only half of the names move in a round so that
-    neighbours don't swap for ever; it finds coarser communities.
+    Nodes move to the neighbouring community of the greatest gain and communities are merged to nodes, again and again. While there
+    are more than local_links weighted pairs both are joins, with at most ``rounds`` of moves before a merger; what is left then is
+    done by one task until nothing improves, in the order of names.
     """
     pairs = cut(undirected(edges))
-    if pairs.count() <= local_links:
-        found = pairs.groupBy().applyInPandas(_louvain, "qualified_name string, community string")
-    else:
-        links = cut(pairs.where("a <> b").select("a", "b", "w").unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-        found = cut(pairs.select(F.explode(F.array("a", "b")).alias("qualified_name")).distinct().withColumn("community", F.col("qualified_name")))
-        for step in range(rounds):
-            votes = links.join(found.select(F.col("qualified_name").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-            best = votes.groupBy("a").agg(F.max(F.struct("w", "community")).alias("m"))
-            moves = F.pmod(F.xxhash64("qualified_name", F.lit(step)), F.lit(2)) == 0
-            joined = found.join(best, F.col("qualified_name") == F.col("a"), "left")
-            found = cut(joined.select("qualified_name", F.when(moves, F.coalesce("m.community", "community")).otherwise(F.col("community")).alias("community")))
-    sizes = found.groupBy("community").agg(F.count("*").alias("n"), F.min("qualified_name").alias("first"))
-    # ids by size: ranks within blocks of equal size would do, but communities are far fewer than names
-    ids = sizes.withColumn("cluster_id", F.row_number().over(Window.partitionBy(F.lit("all")).orderBy(F.desc("n"), "first")) - 1)
-    return found.join(ids.select("community", "cluster_id"), "community").select("qualified_name", "cluster_id")
+    placed = pairs.select(F.explode(F.array("a", "b")).alias("qualified_name")).distinct().withColumn("community", F.col("qualified_name"))
+    size = pairs.count()
+    while size > local_links:
+        moved = _moves(pairs, rounds)
+        to = moved.select(F.col("name").alias("community"), F.col("community").alias("now"))
+        placed = cut(placed.join(to, "community", "left").select("qualified_name", F.coalesce("now", "community").alias("community")))
+        ends = pairs.join(moved.select(F.col("name").alias("a"), F.col("community").alias("ca")), "a").join(moved.select(F.col("name").alias("b"), F.col("community").alias("cb")), "b")
+        pairs = cut(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        before, size = size, pairs.count()
+        if size == before:
+            break  # no node gains by moving
+    if size <= local_links:
+        final = pairs.groupBy().applyInPandas(_louvain, "qualified_name string, community string").select(F.col("qualified_name").alias("community"), F.col("community").alias("now"))
+        placed = placed.join(final, "community").select("qualified_name", F.col("now").alias("community"))
+    placed = cut(placed)
+    sizes = placed.groupBy("community").agg(F.count("*").alias("n"), F.min("qualified_name").alias("first"))
+    return placed.join(_by_size(sizes), "community").select("qualified_name", "cluster_id")
+
+
+def _by_size(sizes: DataFrame) -> DataFrame:
+    """(community, cluster_id) of (community, n, first): ranks by falling size and name, counted within sizes so that no task ranks all."""
+    each = sizes.groupBy("n").agg(F.count("*").alias("c"))
+    # one row a size: sizes that differ sum up to the number of names, so there are few
+    before = each.withColumn("before", F.sum("c").over(Window.partitionBy(F.lit("all")).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy("first")) - 1 + F.coalesce("before", F.lit(0))
+    return sizes.join(F.broadcast(before.select("n", "before")), "n").select("community", rank.cast("int").alias("cluster_id"))
+
+
+def _moves(pairs: DataFrame, rounds: int) -> DataFrame:
+    """(name, community) after rounds of moves by modularity from a community a name; only half of the names may move in a round, so
+    that neighbours don't swap for ever. Ends early when two rounds move nothing."""
+    inner = pairs.where("a <> b")
+    links = cut(inner.select("a", "b", "w").unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("name"), "w").groupBy("name").agg(F.sum("w").alias("degree"))
+    own = cut(degrees.select("name", "degree", F.col("name").alias("community")))
+    total = own.agg(F.sum("degree").alias("t")).first()["t"] or 1.0
+    idle = 0
+    for step in range(rounds):
+        held = own.groupBy("community").agg(F.sum("degree").alias("held"))
+        near = links.join(own.select(F.col("name").alias("b"), "community"), "b").groupBy(F.col("a").alias("name"), "community").agg(F.sum("w").alias("w"))
+        stay = own.select("name", "community", F.lit(0.0).alias("w"))
+        offers = near.unionByName(stay).groupBy("name", "community").agg(F.sum("w").alias("w")).join(held, "community").join(own.select("name", "degree", F.col("community").alias("old")), "name")
+        is_own = F.col("community") == F.col("old")
+        gain = F.round(F.col("w") - F.col("degree") * (F.col("held") - F.when(is_own, F.col("degree")).otherwise(0.0)) / F.lit(total), 9)
+        best = offers.groupBy("name", "degree", "old").agg(F.min(F.struct((-gain).alias("loss"), (~is_own).alias("other"), "community")).alias("m"))
+        may = F.pmod(F.xxhash64("name", F.lit(step // 2)) + step, F.lit(2)) == 0
+        moved = cut(best.select("name", "degree", F.when(may, F.col("m.community")).otherwise(F.col("old")).alias("community"), (may & F.col("m.other")).alias("moved")))
+        own = moved.select("name", "degree", "community")
+        idle = idle + 1 if moved.where("moved").isEmpty() else 0
+        if idle == 2:
+            break
+    return own.select("name", "community")
+
+
+def stem_labels(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cluster_id, label): the most common file name without extension among a community's nodes, ties by name; members without a
+    file give ``cluster_<id>``."""
+    stem = F.regexp_replace(F.element_at(F.split("file_path", r"[/\\\\]"), -1), r"\.[^.]*$", "")
+    named = members.join(nodes.select("qualified_name", stem.alias("stem")), "qualified_name", "left").groupBy("cluster_id", "stem").agg(F.count("*").alias("n"))
+    best = named.groupBy("cluster_id").agg(F.min(F.struct(F.col("stem").isNull().alias("none"), (-F.col("n")).alias("less"), "stem")).alias("m"))
+    return best.select("cluster_id", F.coalesce("m.stem", F.concat(F.lit("cluster_"), F.col("cluster_id"))).alias("label"))
+
+
+def trivial(items: DataFrame, key: str = "qualified_name") -> DataFrame:
+    """(key, cluster_id): all in cluster 0, for inputs too small to be clustered and engines without a clusterer."""
+    return items.select(key, F.lit(0).alias("cluster_id"))
 
 
 def _louvain(frame: pd.DataFrame) -> pd.DataFrame:

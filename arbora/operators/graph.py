@@ -208,24 +208,30 @@ KIND_PREFERENCE = ("Function", "Method", "Class", "Interface", "Struct", "Enum",
 def resolve(wanted: DataFrame, symbols: DataFrame, imports: DataFrame | None = None) -> DataFrame:
     """(name, context, resolved, rule): names as seen in a file, resolved to symbols by the first rule that fits.
 
-    Rules: exact key; the only symbol of that short name; preferred kind; same file; file of an imported module; the least. wanted:
-    (name, context), imports: (file_path, module_path). Names that nothing fits are left out.
+    Rules: exact key; the only symbol of that short name; same file; file of an imported module; preferred kind; among equals the
+    preferred kind, then the least name. wanted: (name, context), imports: (file_path, module_path). Names that nothing fits are left
+    out.
     """
-    asked = wanted.select(F.col("name"), F.col("context")).distinct()
-    known = symbols.select("qualified_name", "kind", F.col("file_path").alias("at"), "module_path", F.coalesce("display_name", short_name(F.col("qualified_name"))).alias("short")).dropDuplicates(["qualified_name"])
-    exact = asked.join(known, F.col("name") == F.col("qualified_name")).withColumn("level", F.lit(0))
-    named = asked.withColumn("s", short_name(F.col("name"))).join(known, F.col("s") == F.col("short")).drop("s").withColumn("level", F.lit(1))
+    asked = wanted.select("name", "context", short_name(F.col("name")).alias("s")).distinct()
+    place = F.array_position(F.array(*[F.lit(k) for k in KIND_PREFERENCE]), F.col("kind"))
+    preference = F.when(F.coalesce(place, F.lit(0)) == 0, 99).otherwise(place)
+    known = symbols.where(F.col("qualified_name").isNotNull()).select("qualified_name", preference.alias("preference"), F.col("file_path").alias("at"), "module_path", F.coalesce("display_name", short_name(F.col("qualified_name"))).alias("s")).dropDuplicates(["qualified_name"])
+    # one best symbol a short name, and a file or module, so that a common name doesn't multiply callers by homonyms
+    best = F.min(F.struct("preference", "qualified_name"))["qualified_name"]
+    by_name = known.groupBy("s").agg(best.alias("preferred"), F.count("*").alias("n"))
+    by_file = known.where(F.col("at").isNotNull()).groupBy("s", F.col("at").alias("context")).agg(best.alias("same_file"))
+    rows = asked.join(known.select(F.col("qualified_name").alias("name")).withColumn("exact", F.col("name")), "name", "left").join(by_name, "s", "left").join(by_file, ["s", "context"], "left")
     if imports is None:
-        linked = exact.unionByName(named).withColumn("imported", F.lit(False))
+        rows = rows.withColumn("imported", F.lit(None).cast("string"))
     else:
-        via = imports.select(F.col("file_path").alias("context"), F.col("module_path").alias("m")).distinct().withColumn("hit", F.lit(True))
-        both = exact.unionByName(named)
-        linked = both.join(via.select(F.col("context").alias("c"), "m", "hit"), (F.col("context") == F.col("c")) & (F.col("module_path") == F.col("m")), "left").withColumn("imported", F.coalesce("hit", F.lit(False))).drop("c", "m", "hit")
-    preference = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in KIND_PREFERENCE]), F.col("kind")), F.lit(0))
-    best = F.struct("level", (~F.coalesce(F.col("at") == F.col("context"), F.lit(False))).alias("other_file"), (~F.col("imported")).alias("not_imported"), F.when(preference == 0, 99).otherwise(preference).alias("preference"), "qualified_name")
-    picked = linked.groupBy("name", "context").agg(F.min(best).alias("b"), F.countDistinct("qualified_name").alias("n"))
-    rule = F.when(F.col("b.level") == 0, "exact").when(F.col("n") == 1, "unique").when(~F.col("b.other_file"), "same_file").when(~F.col("b.not_imported"), "imported").otherwise("preferred")
-    return picked.select("name", "context", F.col("b.qualified_name").alias("resolved"), rule.alias("rule"))
+        by_module = known.groupBy("s", "module_path").agg(F.min(F.struct("preference", "qualified_name")).alias("of"))
+        via = imports.select(F.col("file_path").alias("context"), "module_path").distinct()
+        found = asked.join(via, "context").join(by_module, ["s", "module_path"]).groupBy("name", "context").agg(F.min("of")["qualified_name"].alias("imported"))
+        rows = rows.join(found, ["name", "context"], "left")
+    only = F.when(F.col("n") == 1, F.col("preferred"))
+    rule = F.when(F.col("exact").isNotNull(), "exact").when(only.isNotNull(), "unique").when(F.col("same_file").isNotNull(), "same_file").when(F.col("imported").isNotNull(), "imported").otherwise("preferred")
+    resolved = F.coalesce("exact", only, "same_file", "imported", "preferred")
+    return rows.select("name", "context", resolved.alias("resolved"), rule.alias("rule")).where(F.col("resolved").isNotNull())
 
 
 def enrich(edges: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:

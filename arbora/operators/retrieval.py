@@ -89,11 +89,22 @@ def impact_summary(reached: DataFrame) -> DataFrame:
     return reached.agg(F.sum(F.col("direct").cast("int")).alias("direct_callers"), F.count("depth").alias("transitive"), F.count_distinct(F.when(F.col("depth").isNotNull(), F.col("file_path"))).alias("files"), F.sum((F.col("is_test") & F.col("depth").isNotNull()).cast("int")).alias("tests"), F.max("depth").alias("deepest"))
 
 
+def explain_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(symbol, side, entry), one row a link: side is outgoing or incoming, entry ``kind name``; edges into a node's bare name count.
+
+    The form without lists, for nodes that a good part of all edges lead to.
+    """
+    out = edges.where(F.col("kind").isin(list(OUTGOING))).select(F.col("source").alias("symbol"), F.lit("outgoing").alias("side"), F.concat_ws(" ", "kind", "target").alias("entry"))
+    entering = edges.where(F.col("kind").isin(list(INCOMING))).select(F.col("target").alias("t"), F.concat_ws(" ", "kind", "source").alias("entry")).distinct()
+    named = nodes.select(F.col("qualified_name").alias("symbol"), F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("t"))
+    into = named.join(entering, "t").select("symbol", F.lit("incoming").alias("side"), "entry")
+    return out.distinct().join(nodes.select(F.col("qualified_name").alias("symbol")).distinct(), "symbol", "left_semi").unionByName(into.distinct())
+
+
 def explain(nodes: DataFrame, edges: DataFrame, symbol: str | None = None, limit: int | None = None) -> DataFrame:
     """(symbol, kind, location, language, outgoing, incoming): what nodes matching the symbol, or all nodes, are linked to.
 
-    outgoing and incoming are sorted ``kind name`` entries; edges into a node's bare name count as edges into the node. File nodes are
-    dropped after the limit.
+    outgoing and incoming are sorted entries of ``explain_links``. File nodes are dropped after the limit.
     """
     matched = nodes
     if symbol is not None:
@@ -101,13 +112,8 @@ def explain(nodes: DataFrame, edges: DataFrame, symbol: str | None = None, limit
     if limit is not None:
         matched = matched.orderBy((F.col("qualified_name") == F.lit(symbol)).desc(), "qualified_name").limit(limit)
     matched = matched.where(F.col("kind") != "File")
-    out = edges.where(F.col("kind").isin(list(OUTGOING))).select(F.col("source").alias("q"), F.concat_ws(" ", "kind", "target").alias("e")).distinct()
-    entering = edges.where(F.col("kind").isin(list(INCOMING))).select(F.col("target").alias("t"), F.concat_ws(" ", "kind", "source").alias("e"))
-    named = matched.select("qualified_name", F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("t"))
-    into = named.join(entering, "t").select(F.col("qualified_name").alias("q"), "e").distinct()
-    lists = lambda df, name: df.groupBy("q").agg(F.sort_array(F.collect_list("e")).alias(name))
+    lists = explain_links(matched, edges).groupBy(F.col("symbol").alias("q")).agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("entry")))).alias(s) for s in ("outgoing", "incoming")])
     empty = F.expr("cast(array() as array<string>)")
-    joined = matched.join(lists(out.join(matched.select(F.col("qualified_name").alias("q")), "q", "left_semi"), "outgoing"), F.col("qualified_name") == F.col("q"), "left").drop("q")
-    joined = joined.join(lists(into, "incoming"), F.col("qualified_name") == F.col("q"), "left")
     location = F.concat("file_path", F.when(F.col("range_start") > 0, F.concat(F.lit(":"), F.col("range_start"))).otherwise(""))
+    joined = matched.join(lists, F.col("qualified_name") == F.col("q"), "left")
     return joined.select(F.col("qualified_name").alias("symbol"), "kind", location.alias("location"), "language", F.coalesce("outgoing", empty).alias("outgoing"), F.coalesce("incoming", empty).alias("incoming"))

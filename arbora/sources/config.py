@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -21,6 +22,9 @@ class Config:
     max_nodes_per_query: int = 200
     top_k: int = 10
     max_tokens: int = 4000
+    min_semantic: float = 0.20
+    enable_cfg: bool = True
+    enable_dfg: bool = True
 
 
 def from_mapping(values: dict, base: Config = Config()) -> Config:
@@ -53,7 +57,23 @@ def _value(text: str):
     text = text.strip().strip("\"'")
     if text.lower() in ("true", "false"):
         return text.lower() == "true"
-    try:
-        return int(text)
-    except ValueError:
-        return text
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+# The names that a settings file may have.
+NAMES = ("codegraph.yaml", "codegraph.yml", ".codegraph.yaml")
+
+
+def find(folder: str, names: tuple[str, ...] = NAMES) -> str | None:
+    """The nearest settings file in the folder or one above it."""
+    at = Path(folder).resolve()
+    return next((str(p / n) for p in (at, *at.parents) for n in names if (p / n).is_file()), None)
+
+
+def load(path: str, base: Config = Config()) -> Config:
+    return from_mapping(parse(Path(path).read_text(encoding="utf-8")), base)

@@ -103,8 +103,24 @@ def errors(facts: DataFrame) -> DataFrame:
     return facts.where(F.col("fact") == "error").select("file_path", "language", F.col("name").alias("message"))
 
 
-def build(files: DataFrame, methods: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, errors) of the files, facts extracted once."""
-    facts = cut(extract(files))
+def register_languages(path: str) -> list[str]:
+    """Adds the languages of a JSON file to those the scanner knows and gives their names.
+
+    The file maps names to rules: types as pairs of pattern and kind, functions, imports, and bases, blocks, comment and strings where
+    they differ from those of C.
+    """
+    with open(path, encoding="utf-8") as f:
+        given = json.load(f)
+    for name, rules in given.items():
+        lists = {"types": tuple(map(tuple, rules.get("types", ()))), "functions": tuple(rules.get("functions", ())), "imports": tuple(rules.get("imports", ()))}
+        generic_facts.LANGUAGES[name] = generic_facts.Rules(**(rules | lists))
+    return list(given)
+
+
+def build(files: DataFrame, methods: bool = False, control: bool = True, data: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, errors) of the files, facts extracted once; control and data flow can be left out."""
+    facts = extract(files)
+    left_out = [f for f, wanted in (("control", control), ("write", data), ("read", data)) if not wanted]
+    facts = cut(facts.where(~F.col("fact").isin(left_out)) if left_out else facts)
     nodes, edges = ingest(facts, methods)
     return nodes, edges, errors(facts)

@@ -30,6 +30,28 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return inner.unionByName(outer), occurrences
 
 
+# Where an index may lie below a project's folder, the first that exists counts.
+PLACES = ("index.json", "scip-index.json", ".scip/index.json")
+
+
+def discover(spark: SparkSession, root: str) -> str | None:
+    """The path of the index below root, on any file system that Spark reads; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    return next((f"{root}/{p}" for p in PLACES if fs.exists(path(f"{root}/{p}"))), None)
+
+
+def occurrences_of(occurrences: DataFrame, role: str | None = None) -> DataFrame:
+    """(symbol, file_path, places, first_line): in which files symbols occur, all roles or one, and how often."""
+    rows = occurrences if role is None else occurrences.where(F.col("role") == role)
+    return rows.groupBy("symbol", "file_path").agg(F.count("*").alias("places"), F.min("line").alias("first_line"))
+
+
+def replace_files(stored: DataFrame, fresh: DataFrame, files: DataFrame) -> DataFrame:
+    """The occurrence store after the files were indexed again: their old occurrences go, the fresh ones come."""
+    return stored.join(files.select("file_path").distinct(), "file_path", "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
 def occurrence_map(occurrences: DataFrame) -> DataFrame:
     """(file_path, line, col, symbol): one symbol a position, the greatest where several are given."""
     return occurrences.groupBy("file_path", "line", "col").agg(F.max("symbol").alias("symbol"))

@@ -1,5 +1,7 @@
 """Graph operators on the small graphs of the fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,15 +149,47 @@ def test_clusters(spark):
     assert {r[0]: r[1] for r in C.assign_noise(noisy, more, C.centroids(noisy, more)).collect()}["m.c"] == 0
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**6, 8, 0], ids=["one task", "moves, then one task", "moves only"])
 def test_communities(spark, limit):
     cliques = [(a + str(i), a + str(j)) for a in "pq" for i in range(5) for j in range(i)] + [("p0", "q0")]
     edges = spark.createDataFrame([("CALLS", s, t) for s, t in cliques], "kind string, source string, target string")
     found = {r[0]: r[1] for r in C.communities(edges, limit).collect()}
     assert len({found[f"p{i}"] for i in range(5)}) == 1
-    if limit:
-        assert found["p0"] != found["q0"]
-        assert C.modularity(C.undirected(edges), C.communities(edges, limit)).first()[0] > 0.4
+    assert found["p0"] != found["q0"] and set(found.values()) == {0, 1}
+    assert C.modularity(C.undirected(edges), C.communities(edges, limit)).first()[0] > 0.4
+
+
+def test_communities_both_ways(spark):
+    """The distributed way is about as good as the local one on a graph with noise; sizes fall with the ids."""
+    rng = random.Random(3)
+    names = [f"n{i:03d}" for i in range(120)]
+    pairs = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and rng.random() < (0.3 if i // 20 == j // 20 else 0.02)]
+    edges = spark.createDataFrame([("CALLS", a, b) for a, b in pairs], "kind string, source string, target string")
+    local, spread = (C.communities(edges, limit) for limit in (10**6, 0))
+    q = [C.modularity(C.undirected(edges), x).first()[0] for x in (local, spread)]
+    assert q[1] >= q[0] - 0.05 and q[0] > 0.4
+    sizes = [r["n"] for r in spread.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy("cluster_id").collect()]
+    assert sizes == sorted(sizes, reverse=True) and sum(sizes) == 120
+    nodes = spark.createDataFrame([(n, f"src/{'ab'[i // 60]}.py" if i % 2 else None) for i, n in enumerate(names)], "qualified_name string, file_path string")
+    assert {r["label"] for r in C.stem_labels(local, nodes).collect()} <= {"a", "b"}
+    assert {r["cluster_id"] for r in C.trivial(nodes).collect()} == {0}
+
+
+def test_directed_eigenvector(spark):
+    names = spark.createDataFrame([(c,) for c in "abcd"], "qualified_name string")
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "a"), ("c", "a"), ("d", "a")], "src string, dst string")
+    got = {r[0]: r[1] for r in R.directed_eigenvector(names, links).collect()}
+    assert got["a"] == pytest.approx(1.0) and got["b"] == pytest.approx(1.0, abs=1e-3) and got["c"] < 0.01
+    short = {r[0]: r[1] for r in R.directed_eigenvector(names, links, rounds=1, tolerance=1e-12).collect()}
+    assert short["a"] == 1.0 and short["b"] == 0.25  # unsettled: fan-in stands in
+    assert R.directed_eigenvector(names.limit(0), links.limit(0)).count() == 0
+
+
+def test_explain_links(spark):
+    nodes = spark.createDataFrame([("m.f", "f", "Function"), ("g", "g", "Function")], "qualified_name string, name string, kind string")
+    edges = spark.createDataFrame([("CALLS", "g", "f"), ("CALLS", "g", "f"), ("TESTS", "t", "m.f"), ("CONTAINS", "x", "g"), ("CALLS", None, "g")], "kind string, source string, target string")
+    got = {tuple(r) for r in Q.explain_links(nodes, edges).collect()}
+    assert {("g", "outgoing", "CALLS f"), ("m.f", "incoming", "CALLS g"), ("m.f", "incoming", "TESTS t")} <= got and len(got) <= 4
 
 
 def test_search_and_texts(spark):

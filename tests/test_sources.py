@@ -1,12 +1,13 @@
 """Extractors and listing rules on small fixtures."""
 
 import ast
+import json
 
 import pytest
 
 from arbora.operators.graph import current_edges
-from arbora.sources import generic_facts, python_facts, walk
-from arbora.sources.ingest import build
+from arbora.sources import config, generic_facts, python_facts, scip, walk
+from arbora.sources.ingest import build, register_languages
 from arbora.streaming.refresh import LiveGraph
 
 CASES = {
@@ -102,3 +103,21 @@ def test_ignore_rules(spark):
     with pytest.raises(ValueError):
         walk.extension_map(["nope"])
     assert walk.extension_map(["ts"]) == walk.extension_map([".tsx"])
+
+
+def test_settings_languages_and_indexes(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "codegraph.yaml").write_text("min_semantic: 0.35\nenable_cfg: false\nnope: 1\n")
+    assert config.load(config.find(str(tmp_path / "a" / "b"))) == config.Config(min_semantic=0.35, enable_cfg=False)
+    (tmp_path / "lang.json").write_text(json.dumps({"toy": {"types": [["\\\\bthing\\\\s+(?P<name>\\\\w+)", "Class"]], "functions": []}}).replace("\\\\\\\\", "\\\\"))
+    assert register_languages(str(tmp_path / "lang.json")) == ["toy"]
+    try:
+        assert [f["name"] for f in generic_facts.facts("thing Box { }", "a.toy", "toy") if f["fact"] == "node"] == ["Box"]
+    finally:
+        del generic_facts.LANGUAGES["toy"]
+    assert scip.discover(spark, str(tmp_path)) is None
+    (tmp_path / "index.json").write_text("{}")
+    assert scip.discover(spark, str(tmp_path)).endswith("/index.json")
+    places = spark.createDataFrame([("s", "a.py", 3, 0, "reference"), ("s", "a.py", 1, 0, "definition"), ("s", "b.py", 9, 0, "reference")], "symbol string, file_path string, line int, col int, role string")
+    assert {tuple(r) for r in scip.occurrences_of(places).collect()} == {("s", "a.py", 2, 1), ("s", "b.py", 1, 9)}
+    assert scip.replace_files(places, places.limit(0), places.where("file_path = 'a.py'")).count() == 1
