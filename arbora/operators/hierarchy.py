@@ -53,10 +53,12 @@ def _finish(links: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "parent": links["parent"], "size": [size[i] for i in ids], "level": pd.array([level.get(i) for i in ids], dtype="Int64")})
 
 
-def peel(links: DataFrame, local_links: int = LOCAL_LINKS) -> tuple[list[DataFrame], DataFrame]:
+def peel(links: DataFrame, local_links: int = LOCAL_LINKS, least_part: float = 0.0) -> tuple[list[DataFrame], DataFrame]:
     """(peeled, rest): frames of (id, parent, size, level) in peel order; rest ends with those of null level, which lie on circles.
 
-    size counts the node itself and all below it. Nodes that are single or have no children go in round 0.
+    size counts the node itself and all below it. Nodes that are single or have no children go in round 0. Should more than local_links
+    links be left of which a round peels less than least_part, peeling ends there and the rest also holds what leads to circles or to
+    long chains.
     """
     left = cut(links.select("id", "parent", F.lit(1).cast("long").alias("size")))
     count, level, peeled = left.count(), 0, []
@@ -71,6 +73,8 @@ def peel(links: DataFrame, local_links: int = LOCAL_LINKS) -> tuple[list[DataFra
             break  # circles only
         peeled.append(leaves)
         level += 1
+        if before - count < least_part * before:
+            break
     schema = "id string, parent string, size long, level long"
     if count > local_links:
         return peeled, left.select("id", "parent", "size", F.lit(None).cast("long").alias("level"))
@@ -78,10 +82,23 @@ def peel(links: DataFrame, local_links: int = LOCAL_LINKS) -> tuple[list[DataFra
     return peeled, cut(rest)
 
 
-def circular(nodes: DataFrame, local_links: int = LOCAL_LINKS, **columns: str) -> DataFrame:
-    """(id) of the nodes that are reached again by following parents from themselves."""
-    _, rest = peel(parent_links(nodes, **columns), local_links)
-    return rest.where(F.col("level").isNull()).select("id")
+def _ends_on_circles(links: DataFrame) -> DataFrame:
+    """(id) of the nodes on circles: what all nodes reach in 2 ** k >= n steps, by k joins that double the steps."""
+    jumps = cut(links.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("to")))
+    for _ in range(max(1, jumps.count().bit_length())):
+        jumps = cut(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to")))
+    return jumps.select(F.col("to").alias("id")).distinct()
+
+
+def circular(nodes: DataFrame, local_links: int = LOCAL_LINKS, least_part: float = 0.05, **columns: str) -> DataFrame:
+    """(id) of the nodes that are reached again by following parents from themselves.
+
+    Leaves are peeled as long as a round takes least_part of what is left; long chains, of which it takes less, are told from circles
+    by doubling steps, in as many rounds as the logarithm of their length.
+    """
+    _, rest = peel(parent_links(nodes, **columns), local_links, least_part)
+    stuck = rest.where(F.col("level").isNull())
+    return _ends_on_circles(stuck) if stuck.count() > local_links else stuck.select("id")
 
 
 def _hand_down(rest: pd.DataFrame) -> pd.DataFrame:

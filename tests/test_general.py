@@ -125,3 +125,11 @@ def test_orphans(spark):
     assert report[("target", datetime(2030, 1, 1))] == (5, 3) and report[("source", None)] == (1, 1)
     assert O.orphan_references(edges.limit(0), nodes, external).count() == 0
     assert O.orphan_references(edges, nodes.limit(0), external.limit(0)).count() == 12
+
+
+def test_long_chains_lead_to_circles(spark):
+    """Chains far longer than the local bound: into a circle, into a root, and a node that is its own parent."""
+    rows = [(f"a{i:04d}", f"a{i + 1:04d}") for i in range(700)] + [("a0700", "c0"), ("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("self", "self"), ("x", "self")] + [(f"b{i:04d}", f"b{i + 1:04d}") for i in range(700)] + [("b0700", None)]
+    nodes = spark.createDataFrame(rows, "qualified_name string, parent_qualified string")
+    for bound in (5, 10**6):
+        assert {r[0] for r in H.circular(nodes, bound).collect()} == {"c0", "c1", "c2", "self"}
