@@ -71,7 +71,7 @@ DAY = lambda n: datetime(2030, 1, n)
 
 
 def test_files(spark):
-    rows = [("r", "a.py", None, "x = (", None, DAY(1), 1, 1), ("r", "a.py", "python", "x = 1", ["e"], DAY(2), 1, 1), ("r", "b.js", "python", "x = (", [], DAY(1), 1, 1), ("r", "b.js", "python", "x = (", [], DAY(1), 1, 1), (None, "c.c", None, None, None, None, 1, 1), ("r", "d.java", None, "", None, DAY(1), 1, 1), ("r", "e.txt", None, "((", None, DAY(1), 1, 1), ("r", None, None, "((", None, DAY(1), 1, 1), ("r", "deep.js", None, "x = " + "[" * 20000 + "]" * 20000, None, DAY(1), 1, 1), ("r", "deep.py", None, "x = " + "(" * 20000 + ")" * 20000, None, DAY(1), 1, 1), ("r", "long.py", None, "x = 1\n" * 50000, None, DAY(1), 1, 1)]
+    rows = [("r", "a.py", None, "x = (", None, DAY(1), 1, 1), ("r", "a.py", "python", "x = 1", ["e"], DAY(2), 1, 1), ("r", "b.js", "python", "x = (", [], DAY(1), 1, 1), ("r", "b.js", "python", "x = (", [], DAY(1), 1, 1), (None, "c.c", None, None, None, None, 1, 1), ("r", "d.java", None, "", None, DAY(1), 1, 1), ("r", "e.txt", None, "((", None, DAY(1), 1, 1), ("r", None, None, "((", None, DAY(1), 1, 1), ("other", "deep.js", None, "x = " + "[" * 20000 + "]" * 20000, None, DAY(1), 1, 1), ("r", "deep.py", None, "x = " + "(" * 20000 + ")" * 20000, None, DAY(1), 1, 1), ("r", "long.py", None, "x = 1\n" * 50000, None, DAY(1), 1, 1)]
     parses = spark.createDataFrame(rows, PARSES)
     got = {r["file_path"]: r["problem"] for r in files.checked(parses).collect()}
     assert got.pop("b.js") and "deep.py" in got and set(got) == {"a.py", "c.c", "d.java", "deep.js", "deep.py", "e.txt", "long.py"} and not any(got.values())
