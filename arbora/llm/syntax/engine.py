@@ -183,12 +183,14 @@ def _automaton(tree, full):
 class Recogniser:
     """Recognises token sequences; one object a worker, so that what was derived once is kept."""
 
-    MEMO_SPAN, MEMO_SIZE = 64, 400_000
+    #: Nested deeper than MEMO_DEPTH, memo rules are called like all others, by the graph-structured stack, which needs no recursion; the
+    #: ends of all rules found there are kept in ``done`` while the text lasts, so that outer levels don't look for them again.
+    MEMO_SPAN, MEMO_SIZE, MEMO_DEPTH = 64, 400_000, 100
 
     def __init__(self, net: Network):
         self.net = net
         self.kept: dict[str, dict] = {name: {} for name in net.memo}
-        self.size = 0
+        self.size = self.depth = 0
 
     def accepts(self, kinds: list[str], newline: list[bool] | None = None, rule: str = "file") -> int:
         """The dialects, as bits, in which the whole sequence, which must end in END, derives from the rule; 0 if none."""
@@ -198,7 +200,7 @@ class Recogniser:
         self.kinds = kinds
         self.newline = newline or [False] * len(kinds)
         self.keys = [k + "\n" if n else k for k, n in zip(kinds, self.newline)] if newline else kinds
-        self.far, self.local = 0, {}
+        self.far, self.local, self.done, self.depth = 0, {}, {}, 0
         return self._derive(rule, 0)
 
     def _known(self, rule: str, at: int) -> dict[int, int]:
@@ -216,7 +218,9 @@ class Recogniser:
             ends, far = {at + d: m for d, m in node[""]}, i - 1
         else:
             before, self.far = self.far, at
+            self.depth += 1
             ends = self._derive(rule, at)
+            self.depth -= 1
             far, self.far = self.far, max(before, self.far)
             if far - at < self.MEMO_SPAN and far < n:
                 if self.size > self.MEMO_SIZE:
@@ -234,7 +238,7 @@ class Recogniser:
         """All ends of a rule called at a position, with their dialects: the worklist over descriptors."""
         states, start, memo, kinds, n, full = self.net.states, self.net.start, self.net.memo, self.kinds, len(self.kinds), self.net.all
         root: tuple[dict, list, int] = ({}, [], 0)  # ends so far, callers (state, node, dialects), number
-        nodes, seen, far = {}, {}, self.far
+        nodes, seen, far, done, flat = {}, {}, self.far, self.done, self.depth >= self.MEMO_DEPTH
         todo = [(start[rule], root, at, full)]
 
         def add(state, node, position, dialects) -> None:
@@ -268,7 +272,7 @@ class Recogniser:
                     allowed &= dialects
                     if not allowed:
                         continue
-                    if called in memo:
+                    if called in memo and ((called, i) in self.local or not flat and (called, i) not in done):
                         self.far = far
                         for end, other in self._known(called, i).items():
                             if other & allowed:
@@ -276,6 +280,10 @@ class Recogniser:
                         far = self.far
                         continue
                     callee = nodes.get((called, i))
+                    if callee is None and (called, i) in done:
+                        ends, reached = done[called, i]
+                        callee, far = ({**ends}, [], len(nodes) + 1), max(far, reached)
+                        nodes[called, i] = callee
                     if callee is None:
                         callee = nodes[called, i] = ({}, [(back, node, allowed)], len(nodes) + 1)
                         todo.append((start[called], callee, i, full))
@@ -295,5 +303,8 @@ class Recogniser:
                 state, dialects, i = moves[0][0], dialects & moves[0][1], i + 1
                 if not dialects:
                     break
+        if flat:
+            for key, node in nodes.items():
+                done.setdefault(key, (node[0], far))
         self.far = far
         return root[0]

@@ -115,8 +115,8 @@ def python(text: str, field=None) -> tuple[list[str], None]:
     return [*kinds, "END"], None
 
 
-def _fields(body: str, field) -> None:
-    """Calls field with each replacement field's expression; format specifications are looked into as well."""
+def _fields(body: str, field, level: int = 1) -> None:
+    """Calls field with each replacement field's expression; format specifications are looked into as well, to the depth Python allows."""
     at, n = 0, len(body)
     while at < n:
         c = body[at]
@@ -125,6 +125,8 @@ def _fields(body: str, field) -> None:
         elif c == "}":
             raise LexError("single } in f-string")
         elif c == "{":
+            if level > 3:
+                raise LexError("f-string fields nested too deeply")
             start, depth, quote = at + 1, 0, ""
             at += 1
             stop = None
@@ -163,7 +165,7 @@ def _fields(body: str, field) -> None:
                     at += 1
                 if depth:
                     raise LexError("f-string field without end")
-                _fields(body[stop + 1 : at - 1], field)
+                _fields(body[stop + 1 : at - 1], field, level + 1)
             else:
                 at = stop + 1
         else:
@@ -324,7 +326,9 @@ def c(text: str) -> tuple[list[str], None]:
 
 def _line_end(text: str, at: int) -> int:
     """The end of a directive: the line's, or that of a comment which runs over it."""
-    for m in re.compile(r"\n|//|/\*|\"(?:[^\"\\\n]|\\.)*\"", re.S).finditer(text, at):
+    mark = re.compile(r"\n|//|/\*|\"(?:[^\"\\\n]|\\.)*\"", re.S)
+    while (m := mark.search(text, at)) is not None:
+        at = m.end()
         if m.group() == "\n":
             return m.start()
         if m.group() == "/*":
@@ -332,7 +336,7 @@ def _line_end(text: str, at: int) -> int:
             if close < 0:
                 raise LexError("comment without end")
             if "\n" in text[m.end() : close]:
-                return _line_end(text, close + 2)
+                at = close + 2
         if m.group() == "//":
             end = text.find("\n", m.end())
             return len(text) if end < 0 else end

@@ -80,6 +80,17 @@ def test_files(spark):
     assert files.checked(parses.limit(0)).count() == 0
 
 
+def test_deep_files_are_decided(spark):
+    """Nested beyond any stack: what is broken is flagged, what isn't is not."""
+    n = 12000
+    texts = {"a.py": ("x = " + "(" * n, "1", ")" * n), "b.js": ("x = " + "[" * n, "1", "]" * n), "c.java": ("class A { int x = " + "(" * n, "1", ")" * n + "; }"), "d.c": ("int x = " + "(" * n, "1", ")" * n + ";"), "e.c": ("#define X " + "/* \n */" * n + "\nint x", "", ";")}
+    rows = [("r", f"{kind}/{path}", None, a + (m if kind == "good" else m + " 1 1") + b, None, DAY(1), 1, 1) for path, (a, m, b) in texts.items() for kind in ("good", "bad")]
+    got = {r["file_path"]: r["problem"] for r in files.checked(spark.createDataFrame(rows, PARSES)).collect()}
+    assert {p for p, x in got.items() if x} == {f"bad/{p}" for p in texts} and len(got) == 2 * len(texts)
+    spec = lambda k: "f'" + "{a:" * k + "}" * k + "'"
+    assert [bool(CHECKER.problem(spec(k), "python")) for k in (3, 4, 12000)] == [False, True, True]
+
+
 SAYS_NOTHING = [
     ("", "empty"), ("/** */", "empty"), ("'''\n   '''", "empty"), ("-----", "empty"), (" ​ ", "empty"), ("//", "empty"), ("/**\n * @param a\n * @return\n */", "tags"), (":param int a:\n:rtype: str", "tags"), ("@param {string} a\n@returns {Promise<void>}", "tags"),
     ("TODO", "placeholder"), ("{@inheritDoc}", "placeholder"), ("N/A.", "placeholder"), ("See base class.", "placeholder"), ("Auto-generated method stub", "placeholder"), ("noqa: E501", "directive"), ("type: ignore[x]", "directive"), ("eslint-disable-next-line no-x", "directive"),
