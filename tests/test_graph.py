@@ -109,6 +109,34 @@ def test_personalised(spark, hub):
     assert abs(middle["A"] - 1.0) < 1e-9 and middle["B"] == 0
 
 
+def test_betweenness_of_large_graphs(spark, monkeypatch):
+    """Graphs beyond every bound get their scores too, by arrays and by joins, as from walks one by one."""
+    monkeypatch.setattr(R, "LOCAL_LINKS", 10)
+    monkeypatch.setattr(R, "HELD_ARCS", 7, raising=False)
+    rng = random.Random(3)
+    every = [f"n{i:02d}" for i in range(40)] + ["alone"]
+    ends = [(rng.choice(every[:25]), rng.choice(every[:25])) for _ in range(60)] + [(every[i], every[i + 1]) for i in range(26, 39)]
+    near = {v: {b for a, b in ends + [(b, a) for a, b in ends] if a == v and b != v} for v in every}
+    wanted = dict.fromkeys(every, 0.0)
+    for s in every:
+        far, paths, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0
+                    order.append(w)
+                paths[w] += paths[v] if far[w] == far[v] + 1 else 0
+        held = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in (v for v in near[w] if far[v] == far[w] - 1):
+                held[v] += paths[v] / paths[w] * (1 + held[w])
+            wanted[w] += held[w] / (40 * 39) if w != s else 0
+    links = spark.createDataFrame(ends, "src string, dst string")
+    for bound in ({}, {"held_links": 0}):
+        got = {r[0]: r[1] for r in R.betweenness(names(spark, *every), links, **bound).collect()}
+        assert got.keys() == wanted.keys() and all(abs(got[v] - wanted[v]) < 1e-9 for v in every)
+
+
 def test_store(spark, diamond):
     nodes, edges = diamond
     gone = spark.createDataFrame([("f.py",)], "file_path string")
